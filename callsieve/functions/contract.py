@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import is_blank, strip
 from callsieve.functions.verdict import json_kind, sole_json_value, unsupported_span
 from callsieve.schemas import (
@@ -165,22 +166,16 @@ def with_event(df: DataFrame, payload: str = "payload") -> DataFrame:
             )
         )
     )
-    return (
-        staged.withColumn("error_code", error)
-        .withColumn(
-            "event",
-            F.when(
-                F.col("error_code").isNull(),
-                F.struct(
-                    f["event_id"].alias("event_id"),
-                    when["instant"].alias("occurred_at"),
-                    f["occurred_at"].alias("occurred_at_raw"),
-                    f["source"].alias("source"),
-                    f["transcript"].alias("transcript"),
-                ),
-            ),
-        )
-        .drop("_value", "_fields", "_time")
+    staged = evaluate_once(staged, error_code=error, _instant=when["instant"])
+    event = F.struct(
+        f["event_id"].alias("event_id"),
+        F.col("_instant").alias("occurred_at"),
+        f["occurred_at"].alias("occurred_at_raw"),
+        f["source"].alias("source"),
+        f["transcript"].alias("transcript"),
+    )
+    return staged.withColumn("event", F.when(F.col("error_code").isNull(), event)).drop(
+        "_value", "_fields", "_time", "_instant"
     )
 
 

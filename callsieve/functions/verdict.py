@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import strip
 from callsieve.schemas import FRAUD_RISKS, FRAUD_TYPES, RISK_SCORES, RISKS
 
@@ -178,8 +179,8 @@ def json_kind(value: Column, key: str) -> Column:
 def with_verdict(df: DataFrame, raw: str = "raw", prefix: str = "") -> DataFrame:
     """Add ``verdict`` (struct or NULL), ``failure`` and ``risk_hint`` columns.
 
-    Each stage is its own projection, so the JSON text is parsed once per row
-    however many columns are derived from it. Narrow: no shuffle.
+    The JSON text is parsed once per row however many columns are derived from
+    it, and filters on the results do not repeat the work. Narrow: no shuffle.
     """
     names = {n: prefix + n for n in ("verdict", "failure", "risk_hint")}
     parsed = (
@@ -220,21 +221,18 @@ def with_verdict(df: DataFrame, raw: str = "raw", prefix: str = "") -> DataFrame
         .when(~F.coalesce(spans_ok, F.lit(False)), "invalid_flagged_spans")
     )
     spans = F.coalesce(f["spans"], F.array().cast("array<string>"))
-    return (
-        parsed.withColumn(names["failure"], failure)
-        .withColumn(
-            names["verdict"],
-            F.when(
-                F.col(names["failure"]).isNull(),
-                make_verdict(f["risk"], f["fraud_type"], f["reason"], spans),
-            ),
-        )
-        .withColumn(
-            names["risk_hint"],
-            F.when(F.col(names["failure"]).isNotNull() & risk_ok, f["risk"]),
-        )
-        .drop("_fragment", "_object", "_fields")
+    staged = evaluate_once(
+        parsed,
+        **{
+            names["failure"]: failure,
+            "_spans": spans,
+            names["risk_hint"]: F.when(failure.isNotNull() & risk_ok, f["risk"]),
+        },
     )
+    verdict = make_verdict(f["risk"], f["fraud_type"], f["reason"], F.col("_spans"))
+    return staged.withColumn(
+        names["verdict"], F.when(F.col(names["failure"]).isNull(), verdict)
+    ).drop("_fragment", "_object", "_fields", "_spans")
 
 
 def unsupported_span(spans: Column, transcript: Column) -> Column:
