@@ -54,9 +54,18 @@ def digit_class() -> str:
     )
 
 
+# JVM forms of the classes. A class is tested range by range, so each begins
+# with one cheap test that settles the letters most texts are made of.
+_WS = rf"[[^\x{{21}}-\x{{84}}]&&[{WHITESPACE}]]"
+_VISIBLE = rf"[[\x{{21}}-\x{{84}}][^{WHITESPACE}]]"
+_IN_LINE = rf"[[\x{{20}}-\x{{84}}][^{LINE_BREAKS}]]"
+# Runs that are not already a single plain space.
+_LOOSE_SPACE = rf" {_WS}+|[[^\x{{20}}]&&{_WS}]{_WS}*"
+
+
 def normalise(text: Column) -> Column:
     """Trim, and turn every run of white space into one space."""
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, _LOOSE_SPACE, " "))
 
 
 def strip(text: Column) -> Column:
@@ -84,14 +93,16 @@ def char_count(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     flat = normalise(text)
-    return F.when(flat == "", F.lit(0)).otherwise(
-        F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1
-    )
+    gaps = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return gaps + (flat != "").cast("int")
 
 
 def digit_ratio(text: Column) -> Column:
     total = F.length(text)
-    rest = F.length(F.regexp_replace(text, f"[{digit_class()}]+", ""))
+    # Unassigned code points are let through to the full class, because the
+    # JVM may know an older Unicode version than the class was made from.
+    digits = rf"[[\p{{N}}\p{{Cn}}]&&[{digit_class()}]]"
+    rest = F.length(F.regexp_replace(text, f"{digits}+", ""))
     return (total - rest) / F.greatest(total, F.lit(1))
 
 
@@ -109,7 +120,7 @@ def turn_count(text: Column) -> Column:
     One match begins at the first visible character of a line and runs to its
     end, so every line is met once and the scan stays linear.
     """
-    lines = F.regexp_count(text, F.lit(f"[^{WHITESPACE}][^{LINE_BREAKS}]*"))
+    lines = F.regexp_count(text, F.lit(f"{_VISIBLE}{_IN_LINE}*"))
     return F.greatest(lines, F.lit(1))
 
 
