@@ -77,9 +77,14 @@ def is_blank(text: Column) -> Column:
     return F.length(strip(text)) == 0
 
 
+def text_hash(text: Column) -> Column:
+    """SHA-256 of the normalised text; NULL for a missing text."""
+    return F.sha2(normalise(text), 256)
+
+
 def fingerprint(text: Column) -> Column:
     """SHA-256 of the normalised text; a missing text hashes as ``None``."""
-    return F.sha2(normalise(F.coalesce(text, F.lit("None"))), 256)
+    return F.coalesce(text_hash(text), F.sha2(F.lit("None"), 256))
 
 
 def payload_hash(payload: Column) -> Column:
@@ -121,7 +126,7 @@ def turn_count(text: Column) -> Column:
     end, so every line is met once and the scan stays linear.
     """
     lines = F.regexp_count(text, F.lit(f"{_VISIBLE}{_IN_LINE}*"))
-    return F.greatest(lines, F.lit(1))
+    return F.when(text.isNotNull(), F.greatest(lines, F.lit(1)))
 
 
 def text_features(text: Column) -> dict[str, Column]:

@@ -17,21 +17,25 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.functions.staging import evaluate_once
+
 # Words of two or more letters, digits or underscores, by Unicode category.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased words followed by their bigrams, repeats kept."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
-    return F.concat(words, bigrams(words))
+    """Lower-cased words and their bigrams, repeats kept, in no given order.
 
-
-def bigrams(words: Column) -> Column:
-    size = F.size(words)
-    following = F.slice(words, F.lit(2), F.greatest(size - 1, F.lit(0)))
-    leading = F.slice(words, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    return F.zip_with(leading, following, lambda a, b: F.concat(a, F.lit(" "), b))
+    Bigrams are read off the joined words in two passes, from the first and
+    from the second word on, which stays within compiled string functions.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+    joined = F.array_join(words, " ")
+    rest = F.regexp_replace(joined, "^[^ ]+ ", "")
+    pair = F.lit("[^ ]+ [^ ]+")
+    return F.concat(
+        words, F.regexp_extract_all(joined, pair, 0), F.regexp_extract_all(rest, pair, 0)
+    )
 
 
 def term_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -40,17 +44,14 @@ def term_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     A document emits each occurrence for ``tf`` and each distinct term for
     ``df``; both are summed map-side before moving.
     """
-    t = F.col("_terms")
-    emitted = F.concat(
-        F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct(t),
-            lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")),
-        ),
+    every = F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("_terms").alias("terms"))
+    distinct = F.struct(
+        F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("_terms").alias("terms")
     )
     return (
-        texts.select(terms(F.col(text)).alias("_terms"))
-        .select(F.inline(emitted))
+        evaluate_once(texts.select(text), _terms=terms(F.col(text)))
+        .select(F.inline(F.array(every, distinct)))
+        .select("tf", "df", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callsieve.functions.verdict import make_verdict
 from callsieve.session import configure
+from callsieve.sources.files import widen
 
 SPAM_TYPES = (
     "ssn_scam", "refund_scam", "tech_support_scam", "reward_scam", "impersonation", "other",
@@ -27,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return widen(d, "doc_id")
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

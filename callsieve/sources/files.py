@@ -144,3 +144,13 @@ def stream_table(spark: SparkSession, base: str, name: str, schema: str, **optio
     if files.getFileStatus(target).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input of fewer blocks than cores by a unique key.
+
+    Text work is bound by CPU, and a small compressed file is one task. Large
+    inputs have more blocks than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

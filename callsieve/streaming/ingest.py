@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callsieve.functions.contract import with_event
-from callsieve.functions.text import fingerprint, payload_hash, text_features
+from callsieve.functions.staging import evaluate_once
+from callsieve.functions.text import payload_hash, text_features, text_hash
 from callsieve.schemas import STREAM_RECORD
-from callsieve.sources.files import indexed_lines
+from callsieve.sources.files import indexed_lines, widen
 
 LEDGER_SCHEMA = (
     "stream_partition string, source_offset long, event_id string, occurred_at timestamp, "
@@ -115,18 +116,22 @@ def read_event(records: DataFrame) -> DataFrame:
 
     Works alike on batch and streaming frames.
     """
-    text = F.col("event.transcript")
-    valid = F.col("event").isNotNull()
-    return with_event(records).select(
+    text = F.col("_text")
+    staged = evaluate_once(
+        with_event(records),
+        _text=F.col("event.transcript"),
+        _hash=F.when(F.col("event").isNull(), payload_hash(F.col("payload"))),
+    )
+    return staged.select(
         "stream_partition",
         "source_offset",
         "event.event_id",
         "event.occurred_at",
         "event.occurred_at_raw",
         "event.source",
-        F.when(valid, fingerprint(text)).alias("transcript_hash"),
-        *[F.when(valid, v).alias(k) for k, v in text_features(text).items()],
-        F.when(~valid, payload_hash(F.col("payload"))).alias("payload_hash"),
+        text_hash(text).alias("transcript_hash"),
+        *[v.alias(k) for k, v in text_features(text).items()],
+        F.col("_hash").alias("payload_hash"),
         "error_code",
     )
 
@@ -204,7 +209,7 @@ def process_batch(batch: DataFrame, batch_id: int, store: StreamStore) -> None:
         .groupBy("stream_partition").agg(F.max("next_offset").alias("_next"))
     )
     parsed = (
-        read_event(batch)
+        read_event(widen(batch, "stream_partition", "source_offset"))
         .join(offsets, "stream_partition", "left")
         .withColumn("skip", F.col("source_offset") < F.coalesce("_next", F.lit(0)))
         .drop("_next")
