@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.functions.verdict import is_fraud
-from callsieve.schemas import SplitPolicy
+from callsieve.schemas import SPLITS, SplitPolicy
 
 _BUCKET_HEX = 4  # leading hex digits of the hash: 65,536 buckets
 
@@ -222,11 +222,16 @@ def label_distribution(df: DataFrame) -> DataFrame:
 
 
 def split_overlap(df: DataFrame) -> DataFrame:
-    """Fingerprints found in more than one split: must be empty."""
+    """Fingerprints found in more than one split: must be empty.
+
+    Splits are compared by number, which keeps the aggregation hash-based.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split"))
     return (
         df.groupBy("fingerprint")
-        .agg(F.min("split").alias("first_split"), F.max("split").alias("last_split"))
+        .agg(F.min(rank).alias("first_split"), F.max(rank).alias("last_split"))
         .filter("first_split <> last_split")
+        .select("fingerprint")
     )
 
 

@@ -564,7 +564,7 @@ SELECT candidate, round(schema_validity, 9) AS schema_validity,
 WITH {METRICS}, {RAI}, ops AS (
   SELECT lang, avg(length(text)) - 500 AS p95,
     count(*) FILTER (length(text) > 20000)::DOUBLE / count(*) AS err
-  FROM documents WHERE lang <> 'fr' GROUP BY lang),
+  FROM documents GROUP BY lang),
 e AS (
   SELECT c.lang AS candidate, array_to_string(list_filter([
     CASE WHEN NOT coalesce(f1 >= 0.85, FALSE) THEN 'f1' END,
@@ -574,7 +574,7 @@ e AS (
     CASE WHEN NOT coalesce(err <= 0.02, FALSE) THEN 'error_rate' END,
     CASE WHEN NOT coalesce(r.failed_checks = '', FALSE) THEN 'responsible_ai' END],
     lambda x: x IS NOT NULL), ',') AS failed_checks
-  FROM (SELECT DISTINCT lang FROM documents) c
+  FROM (SELECT lang FROM documents UNION SELECT role FROM conversations) c
   LEFT JOIN metrics m ON m.domain = c.lang AND m.model = 'llm'
   LEFT JOIN ops ON ops.lang = c.lang LEFT JOIN rai_failed r ON r.candidate = c.lang)
 SELECT candidate, CASE WHEN failed_checks = '' THEN 'promote' ELSE 'reject' END AS decision,

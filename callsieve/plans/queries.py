@@ -198,7 +198,7 @@ def split_overlap(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("row_key"), text.fingerprint(F.col("text")).alias("fingerprint"),
         (F.col("lang") == "en").alias("is_fraud"),
     )
-    return split.split_overlap(split.stratified_split(d)).select("fingerprint")
+    return split.split_overlap(split.stratified_split(d))
 
 
 # --- features ----------------------------------------------------------------
@@ -396,15 +396,15 @@ def rai_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Every language is a candidate; one has no operational evidence."""
+    """Languages are candidates, and so are roles, which have no evidence."""
     llm = evaluate.binary_metrics(_scored(spark, sf), ["domain"]).withColumnRenamed(
         "domain", "candidate"
     )
     d = I.documents(spark, sf)
-    candidates = d.select(F.col("lang").alias("candidate")).distinct()
+    roles = I.table(spark, sf, "conversations").select(F.col("role").alias("candidate"))
+    candidates = d.select(F.col("lang").alias("candidate")).unionByName(roles).distinct()
     operational = (
-        d.filter(F.col("lang") != "fr")
-        .groupBy(F.col("lang").alias("candidate"))
+        d.groupBy(F.col("lang").alias("candidate"))
         .agg(
             (F.avg(F.length("text")) - 500).alias("p95_latency_ms"),
             (F.count_if(F.length("text") > 20000) / F.count(F.lit(1))).alias("error_rate"),

@@ -114,3 +114,19 @@ def test_bounded_dedup_runs_as_a_stream(spark, folder):
          .option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.table("bounded").count() == 2
+
+
+def test_state_store_keeps_the_first_over_all_history(spark, folder):
+    store = I.StreamStore(f"{folder}/s")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for start, a, b in ((0, [event("x"), event("x")], [event("x"), event("y")]), (2, [event("y"), event("z")], ["{bad"])):
+            drop(spark, store, "a", start, a)
+            drop(spark, store, "b", start, b)
+            I.start_state_ingestion(I.record_stream(spark, store.drops), store).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(f"{store.root}/events").collect()
+    assert {(r.event_id, r.stream_partition, r.source_offset) for r in got} == {("x", "a", 0), ("y", "b", 1), ("z", "a", 3)}
+    assert len(got) == 3
