@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.functions.numeric import safe_ratio, two_bucket_psi
+from callsieve.operators.ordering import join_null_safe
 from callsieve.schemas import DriftPolicy
 
 _BLOCK_WINDOWS = 16  # block length in windows: copies add 1/16 of the rows
@@ -39,7 +40,7 @@ def sequence_positions(
     )
     inside = Window.partitionBy(key, "_bucket").orderBy("ts", "event_id")
     return (
-        timed.join(starts, [key, "_bucket"])
+        join_null_safe(timed, starts, [key, "_bucket"])
         .withColumn("pos", F.col("_start") + F.row_number().over(inside))
         .drop("_bucket", "_start")
     )
@@ -65,7 +66,7 @@ def rolling_drift(
     block = F.floor(index / length)
     tail = index % length >= length - (n - 1)
     copies = F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = placed.withColumn("_home", block).withColumn("_block", F.explode(copies))
+    spread = placed.select("*", block.alias("_home"), F.explode(copies).alias("_block"))
     w = Window.partitionBy(key, "_block").orderBy("pos").rowsBetween(-(n - 1), 0)
     rolled = (
         spread.withColumn("window_size", F.count(F.lit(1)).over(w))

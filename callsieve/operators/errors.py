@@ -11,6 +11,7 @@ from callsieve.functions.numeric import safe_ratio
 from callsieve.functions.text import excerpt
 from callsieve.functions.verdict import is_fraud
 from callsieve.operators.evaluate import with_rates
+from callsieve.operators.ordering import join_null_safe
 
 # --- fixed values ---------------------------------------------------------
 FAILURES = (
@@ -156,7 +157,9 @@ def dominant_false_positive(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def derived_rates(summary: DataFrame, dominant: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rates per group, ready for a side-by-side table."""
-    joined = summary.join(dominant.select(*by, "share_of_false_positives"), list(by), "left")
+    joined = join_null_safe(
+        summary, dominant.select(*by, "share_of_false_positives"), by, "left"
+    )
     c = F.col
     return joined.select(
         *by,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callsieve.functions.numeric import safe_ratio
 from callsieve.functions.verdict import is_fraud, risk_score, with_verdict
+from callsieve.operators.ordering import join_null_safe
 from callsieve.schemas import RegressionFloors
 
 METRICS = ("precision", "recall", "f1", "pr_auc", "json_validity", "n")
@@ -86,7 +87,7 @@ def _running(counts: DataFrame, by: list[str], many_scores: bool) -> DataFrame:
     )
     local = _descending([*by, "_range"], "score")
     return (
-        ranged.join(starts, [*by, "_range"])
+        join_null_safe(ranged, starts, [*by, "_range"])
         .withColumn("cum_n", F.col("_n0") + F.sum("n").over(local))
         .withColumn("cum_pos", F.col("_pos0") + F.sum("pos").over(local))
         .drop("_range", "_n0", "_pos0")

@@ -1,8 +1,11 @@
-"""One-number row order, so order-dependent rules aggregate without sorting."""
+"""One-number row order, and joins that lose no row to a missing key."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ROW_BITS = 48
@@ -15,3 +18,17 @@ def ordinal(rank: Column, row_idx: Column) -> Column:
     number keeps ``min``/``max`` in the hash-aggregate fast path.
     """
     return F.shiftleft(rank.cast("long"), _ROW_BITS).bitwiseOR(row_idx.cast("long"))
+
+
+def join_null_safe(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join in which a NULL key part matches a NULL.
+
+    Attaches what was aggregated per group to the rows of the group; grouping
+    puts NULLs together, so the join has to as well.
+    """
+    names = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
+    return left.join(other, same, how).drop(*names.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callsieve.functions.contract import pair_contract, text_contract
 from callsieve.functions.text import fingerprint
-from callsieve.operators.dedup import mark_first
+from callsieve.operators.dedup import keep_first, mark_first
 from callsieve.operators.ordering import ordinal
 from callsieve.schemas import QualityPolicy
 
@@ -70,13 +70,17 @@ def quarantine(pairs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> Dat
 
 
 def accepted(pairs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
-    """Accepted rows with their text, plus ``fingerprint`` and ``ordinal``."""
-    classified = classify(pairs, policy)
-    return (
-        route(classified, policy)
-        .filter(F.col("reason").isNull())
-        .drop("reason", "contract_error", "transcript_chars")
-    )
+    """Accepted rows with their text, plus ``fingerprint`` and ``ordinal``.
+
+    Rows that break the contract are dropped before the text is shuffled.
+    """
+    return accept(classify(pairs, policy), policy).drop("transcript_chars")
+
+
+def accept(classified: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:
+    """Rows of a classified frame that keep the contract and come first."""
+    clean = classified.filter(F.col("contract_error").isNull()).drop("contract_error")
+    return keep_first(clean, "fingerprint") if policy.deduplicate else clean
 
 
 def quality_report(pairs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataFrame:

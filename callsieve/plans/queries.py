@@ -46,8 +46,7 @@ def language_profile(spark: SparkSession, sf: str) -> DataFrame:
         "ordinal", "fingerprint", "contract_error", "lang",
         *[v.alias(k) for k, v in text.text_features(F.col("transcript")).items()],
     )
-    kept = quality.route(slim).filter(F.col("reason").isNull())
-    return kept.groupBy("lang").agg(
+    return quality.accept(slim).groupBy("lang").agg(
         F.count(F.lit(1)).alias("transcripts"),
         _r(F.avg("char_count")).alias("avg_chars"),
         _r(F.avg("word_count")).alias("avg_words"),
