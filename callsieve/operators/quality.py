@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.functions.contract import pair_contract, text_contract
+from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import fingerprint
 from callsieve.operators.dedup import keep_first, mark_first
 from callsieve.operators.ordering import ordinal
@@ -30,12 +31,12 @@ def classify(pairs: DataFrame, policy: QualityPolicy = QualityPolicy()) -> DataF
         if "verdict" in pairs.columns
         else text_contract(text, policy)
     )
-    return pairs.select(
-        "*",
+    return evaluate_once(pairs, contract_error=error).select(
+        *pairs.columns,
         ordinal(F.col("source_rank"), F.col("row_idx")).alias("ordinal"),
         fingerprint(text).alias("fingerprint"),
         F.coalesce(F.length(text), F.lit(0)).alias("transcript_chars"),
-        error.alias("contract_error"),
+        "contract_error",
     )
 
 

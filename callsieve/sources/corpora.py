@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import fingerprint
 from callsieve.functions.verdict import call_verdict, domain_verdict, email_verdict
 from callsieve.operators.dedup import keep_first
@@ -72,11 +73,11 @@ def verdict_of(spec: SourceSpec) -> Column:
 
 def to_pairs(frame: DataFrame, spec: SourceSpec, rank: int) -> DataFrame:
     """One source as pairs: a projection, nothing moves."""
-    return frame.select(
+    return evaluate_once(frame, verdict=verdict_of(spec)).select(
         F.lit(rank).cast("int").alias("source_rank"),
         F.col(spec.position).cast("long").alias("row_idx"),
         F.col(spec.text).alias("transcript"),
-        verdict_of(spec).alias("verdict"),
+        "verdict",
     )
 
 
