@@ -92,7 +92,10 @@ class _Lengths(dict):
         self._frequent = frequent
 
     def __missing__(self, pretoken: str) -> int:
-        n = len(self._encode(pretoken))
+        if pretoken:
+            n = len(self._encode(pretoken))
+        else:  # one space at the end of a text; alone it would count as an empty text
+            n = len(self._encode("a ")) - len(self._encode("a"))
         if len(pretoken) <= CACHED_CHARS:
             if len(self) >= CACHE_SIZE + len(self._frequent):
                 self.clear()
