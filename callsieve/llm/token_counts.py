@@ -128,8 +128,8 @@ def count_tokens(
     with open(model_path, "rb") as f:
         model = f.read()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    encode = _encoder(model)
-    lengths = {p: len(encode(p)) for p in frequent_pretokens(texts, "text")}
+    length_of = _Lengths(_encoder(model), {})
+    lengths = {p: length_of[p] for p in frequent_pretokens(texts, "text")}
     shared = docs.sparkSession.sparkContext.broadcast((model, lengths))
     key = uuid.uuid4().hex
 
