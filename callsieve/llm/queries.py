@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, html_text, token_counts
+from callsieve.llm import arc_warc, bpe, html_text, langid, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -27,6 +27,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~langid.held_out())
+    found = langid.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through ARC into WARC files and back."""
     path = fresh_dir(spark, "warc")
@@ -49,6 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
     "op4_warc": op4_warc,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
