@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, html_text, langid, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, html_text, langid, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -44,6 +44,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_hits(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -59,10 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op4_warc": op4_warc,
+    "op5_decontaminate": op5_decontaminate,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
 }
 
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (
@@ -74,4 +94,26 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op5_decontaminate": f"""
+        WITH item AS (SELECT item_id, {_SQL_WORDS.format("text")} AS w FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
+            FROM (SELECT item_id, w, least(len(w), 10) AS k FROM item WHERE len(w) > 0), range(1, len(w) - k + 2) AS r(i)
+        ),
+        d AS (SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents),
+        dw AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
+            FROM d, (SELECT DISTINCT k FROM bw), range(1, len(w) - k + 2) AS r(i)
+        ),
+        hit AS (SELECT DISTINCT doc_id, dw.k, i, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, range(i, i + k) AS r(p) GROUP BY 1),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+            FROM hit GROUP BY 1
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+            coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
