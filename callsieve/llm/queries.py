@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, html_text, langid, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, html_text, langid, ngram_join, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -35,6 +35,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every text: five words, similarity of 0.8 or more."""
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through ARC into WARC files and back."""
     path = fresh_dir(spark, "warc")
@@ -72,6 +77,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
+    "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op7_html_text": op7_html_text,
@@ -84,6 +90,27 @@ _SQL_WORDS = (
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+            FROM d, range(1, len(w) - least(len(w), 5) + 2) AS r(i) WHERE len(w) > 0
+        ), n AS (SELECT doc_id, count(*) AS n, sum(hash(g)) AS sig FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT a, b, na.n = nb.n AND c = na.n AS same
+            FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9 * (na.n + nb.n - c)
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+        ), comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1),
+        own AS (SELECT a AS doc_id, count(*) AS n_links, min(CASE WHEN same THEN b END) AS copy FROM link GROUP BY 1)
+        SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links,
+            component_id, component_id = doc_id AS kept
+        FROM comp LEFT JOIN own USING (doc_id)
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
