@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, html_text, langid, ngram_join, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -63,6 +63,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
 }
@@ -143,4 +149,19 @@ ORACLE_SQL: dict[str, str] = {
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op6_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other
+        ), comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+        FROM comp LEFT JOIN n USING (vec_id)
+    """,
 }
