@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.llm.grouping import written
+
 #: Fixed value: what a word is, after lowering A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -156,7 +158,8 @@ def remove_contaminated(
     """
     found = find_hits(docs.select(id_col, text_col), benchmark, n, text_col).filter(F.size("spans") > 0)
     if not spans:
-        return docs.join(found.select(id_col).distinct(), docs[id_col].eqNullSafe(found[id_col]), "left_anti")
+        gone = written(found.select(F.col(id_col).alias("_gone")).distinct(), "contaminated")
+        return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
     one = found.groupBy(F.col(id_col).alias("_id")).agg(F.max("spans").alias("_spans"))
     cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut_spans(F.col(text_col), F.col("_spans")))
     joined = docs.join(one, docs[id_col].eqNullSafe(F.col("_id")), "left")

@@ -128,11 +128,11 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     accepted) for a NULL text, one without letters, and under a model without
     languages. Texts are taken whole; repeated rows get the same answer each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.dictionaries)
     key = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        classifier = worker_state("langid", key, lambda: Classifier(shared.value))
+        classifier = worker_state("langid", key, lambda: Classifier(Model(shared.value)))
         found = [classifier.predict(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
         lang, score, accepted = zip(*found)
         return pa.RecordBatch.from_arrays(

@@ -343,13 +343,17 @@ def similar_documents(
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component; only ids of dropped rows are joined back.
+    """``docs`` with one row of each component.
 
-    Rows that repeat with the same id are one document and leave one row.
+    Rows that repeat with the same id are one document and leave one row; rows
+    without an id stay. Only ids are joined back to the texts: those of dropped
+    rows, and those that several kept rows share.
     """
-    found = similar_documents(docs, id_col, text_col)
-    gone = found.filter(~F.col("kept")).select(id_col).distinct()
+    found = written(similar_documents(docs, id_col, text_col), "similar").filter(F.col(id_col).isNotNull())
+    gone = written(found.filter(~F.col("kept")).select(id_col).distinct(), "gone")
     kept = docs.join(gone, id_col, "left_anti")
-    again = found.filter(f"kept and n_links > 0 and `{id_col}` is not null").groupBy(id_col).count().filter("count > 1").select(id_col)
-    once = kept.join(again, id_col, "left_anti")
-    return once.unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    again = written(found.filter("kept and n_links > 0").groupBy(id_col).count().filter("count > 1").select(id_col), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, id_col, "left_anti").select(*docs.columns)
+    return once.union(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))

@@ -339,7 +339,7 @@ def score_documents(
     n, v = (facts.n or 0) + ends, facts.v + (ends > 0)
     least = max(1, -(-n // 2**word_bits))
     frequent = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((model, {w: log10(c + 1) for w, c in frequent.items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(model), {w: log10(c + 1) for w, c in frequent.items()}))
     key = uuid.uuid4().hex
     log_all, log_end = log10(n + v + 1), log10(ends + 1)
 
@@ -380,7 +380,7 @@ def score_documents(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
             parts, logs = shared.value
-            return Ppm(parts), logs
+            return Ppm(Trie(*parts)), logs
 
         ppm, logs = worker_state("ppm", key, make)
         held, size = [], 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, ppm, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, ppm, quality_bayes, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -79,6 +79,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text: source as host, language as its path."""
+    found = quality_bayes.judge_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "source", "lang", text=False
+    )
+    return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "posterior", "accepted")
+
+
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code length of every text, learned from six sevenths of them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_html_text": op7_html_text,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_bayes": op9_quality_bayes,
     "op10_ppm": op10_ppm,
 }
 
