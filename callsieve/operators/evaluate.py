@@ -19,11 +19,15 @@ _SCORE_BUCKETS = 4096
 def align(predictions: DataFrame, gold: DataFrame, keys: Sequence[str] = ("row_idx",)) -> DataFrame:
     """Pair predictions with gold rows one to one; the job fails if it cannot.
 
-    Replaces reading two files side by side. The keys are unique on each side,
-    so no shuffle partition can run hot.
+    Replaces reading two files side by side. Rows per key are counted on each side
+    in the partitioning of the join; a repeated key fails the job before it multiplies.
     """
-    left = predictions.withColumn("_p", F.lit(True))
-    right = gold.withColumn("_g", F.lit(True))
+    per_key = Window.partitionBy(*keys)
+    once = lambda name: F.when(F.count(F.lit(1)).over(per_key) == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"{name} repeat a key")).cast("boolean")
+    )
+    left = predictions.withColumn("_p", once("predictions"))
+    right = gold.withColumn("_g", once("gold rows"))
     both = left.join(right, list(keys), "full_outer")
     # The check guards the key itself, which every consumer needs.
     checked = F.when(

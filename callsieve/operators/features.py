@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callsieve.functions.text import fingerprint, text_features
 from callsieve.operators.dedup import keep_last_small
-from callsieve.operators.ordering import ordinal
+from callsieve.operators.ordering import NESTED_BITS, ordinal
 from callsieve.schemas import FEATURES, SPLITS
 
 FEATURE_KEYS = ["entity_id", "dataset_version"]
@@ -39,7 +39,7 @@ def extract_features(
     }
     return df.select(
         *[values[f.name].cast(f.dataType).alias(f.name) for f in FEATURES.fields],
-        ordinal(split_rank(F.col("split")), F.col("row_idx")).alias("ordinal"),
+        ordinal(split_rank(F.col("split")), F.col("row_idx"), NESTED_BITS).alias("ordinal"),
     )
 
 

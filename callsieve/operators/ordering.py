@@ -8,16 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ROW_BITS = 48
+ROW_BITS = 48
+#: Room for an ordinal of :func:`ordinal` as the row of another one.
+NESTED_BITS = 60
 
 
-def ordinal(rank: Column, row_idx: Column) -> Column:
+def ordinal(rank: Column, row_idx: Column, bits: int = ROW_BITS) -> Column:
     """``(rank, row_idx)`` as one BIGINT with the same order.
 
-    Exact for fewer than 2**15 ranks of fewer than 2**48 rows each. A plain
-    number keeps ``min``/``max`` in the hash-aggregate fast path.
+    For rows below ``2**bits`` and ranks that leave the result below ``2**60``, or
+    below ``2**63`` with nested ordinals; anything else fails the job. A plain number
+    keeps ``min``/``max`` in the hash-aggregate fast path.
     """
-    return F.shiftleft(rank.cast("long"), _ROW_BITS).bitwiseOR(row_idx.cast("long"))
+    rank, row_idx = rank.cast("long"), row_idx.cast("long")
+    ranks = 1 << ((NESTED_BITS if bits < NESTED_BITS else 63) - bits)
+    fits = rank.between(0, ranks - 1) & row_idx.between(0, (1 << bits) - 1)
+    both = F.shiftleft(rank, bits).bitwiseOR(row_idx)
+    refused = F.raise_error(F.format_string("no place in the order for rank %d, row %d", rank, row_idx)).cast("long")
+    return F.when(rank.isNull() | row_idx.isNull() | fits, both).otherwise(refused)
 
 
 def join_null_safe(

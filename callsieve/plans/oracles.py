@@ -441,7 +441,7 @@ WITH calls AS (
     lower({_strip('d.source')}) AS kind
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
   UNION ALL
-  SELECT 1, conv_id * 1000 + turn, text, turn % 2 = 1, lower({_strip('role')}) FROM conversations),
+  SELECT 1, conv_id * 1048576 + turn, text, turn % 2 = 1, lower({_strip('role')}) FROM conversations),
 u AS (
   SELECT source_rank, row_idx, text, {_call_columns('scam')} FROM calls
   UNION ALL

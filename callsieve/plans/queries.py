@@ -129,7 +129,7 @@ def _sources(spark: SparkSession, sf: str):
         F.coalesce("toxic", F.lit(0)).alias("label"), F.col("source").alias("type"),
     )
     turns = I.table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"),
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("row_idx"),
         F.col("text").alias("dialogue"),
         (F.col("turn") % 2).cast("int").alias("labels"),
         F.col("role").alias("type"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,18 +26,30 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local runs, tests) is a temporary one
-    made and remembered in the session.
+    Only a local master may do without: a temporary folder is made, remembered
+    in the session and removed when the process ends. Elsewhere executors would
+    write to disks that the others cannot read, so a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("spark.callsieve.localWorkDir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="callsieve-")
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+        folder = tempfile.mkdtemp(prefix="callsieve-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.callsieve.localWorkDir", named)
     return named.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused sub-folder of :func:`shared_dir`."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"

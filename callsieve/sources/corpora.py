@@ -90,13 +90,21 @@ def unify(sources: Sequence[tuple[SourceSpec, DataFrame]]) -> DataFrame:
     return pairs
 
 
+def unique_positions(pairs: DataFrame) -> DataFrame:
+    """``pairs``, after a look at the positions alone: one that occurs twice raises."""
+    again = pairs.groupBy("source_rank", "row_idx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if again:
+        raise ValueError(f"source {again['source_rank']} has {again['n']} rows at position {again['row_idx']}")
+    return pairs
+
+
 def first_of_each_text(pairs: DataFrame) -> DataFrame:
     """Loader rule: the first row of every normalised text, before any check.
 
     A missing text is no text to compare, so each such row is kept and left
     to the quality gate, which names the reason.
     """
-    keyed = pairs.withColumn("ordinal", ordinal(F.col("source_rank"), F.col("row_idx")))
+    keyed = unique_positions(pairs).withColumn("ordinal", ordinal(F.col("source_rank"), F.col("row_idx")))
     own = F.concat(F.lit("missing:"), F.col("ordinal").cast("string"))
     text = F.col("transcript")
     keyed = keyed.withColumn("fingerprint", F.when(text.isNull(), own).otherwise(fingerprint(text)))

@@ -9,42 +9,40 @@ from pyspark.sql import types as T
 from callsieve import schemas as S
 from callsieve.functions.text import extract_transcript, is_blank
 from callsieve.functions.verdict import is_fraud, with_verdict
+from callsieve.session import fresh_dir
 
 # Keys a prediction record may use; the first one present is read.
 PREDICTION_KEYS = ("prediction", "completion", "output")
 
 
 def indexed_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> DataFrame:
-    """``(file, row_idx, value)``: every line with its position in its file.
+    """``(file, row_idx, value)``: every line with its position among all files.
 
-    Large files are read in blocks by many tasks. Line counts per block give
-    each block its first position; lines are numbered inside a block only, so
-    one huge file never passes through a single task.
+    Files count in the order of their paths, so the position is unique over a
+    folder. Large files are read in blocks by many tasks; a small table with the
+    first position of each block, written once, is joined to the lines, which
+    stay where they are while that table is below Spark's broadcast threshold.
+    A compressed file cannot be cut and is one block.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        "value",
-        # Only its order within a block is used, which is the order of reading.
-        F.monotonically_increasing_id().alias("_seq"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value"
     )
     if skip_blank:
         lines = lines.filter(~is_blank(F.col("value")))
-    upto = (
-        Window.partitionBy("file").orderBy("_block")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # Numbers within a task follow the order of reading and have no gaps.
+    lines = lines.withColumn("_seq", F.monotonically_increasing_id())
+    upto = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = (
         lines.groupBy("file", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
         .withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
         .drop("_n")
     )
-    inside = Window.partitionBy("file", "_block").orderBy("_seq")
-    return (
-        lines.join(starts, ["file", "_block"])
-        .withColumn("row_idx", F.col("_start") + F.row_number().over(inside) - 1)
-        .select("file", "row_idx", "value")
+    where = fresh_dir(spark, "blocks")
+    starts.write.parquet(where)
+    placed = spark.read.schema(starts.schema).parquet(where)
+    return lines.join(placed, ["file", "_block"]).select(
+        "file", (F.col("_start") + F.col("_seq") - F.col("_first")).alias("row_idx"), "value"
     )
 
 
@@ -105,9 +103,9 @@ def prediction_of_record(record: Column) -> Column:
 
 
 def load_predictions(spark: SparkSession, path: str, json_records: bool | None = None) -> DataFrame:
-    """``(row_idx, raw)``: JSONL records, or one raw output per line."""
+    """``(row_idx, raw)``: JSON records (by default of ``.jsonl`` paths), or one raw output per line."""
     if json_records is None:
-        json_records = not path.rstrip("/").endswith(".txt")
+        json_records = path.rstrip("/").endswith(".jsonl")
     lines = indexed_lines(spark, path)
     if not json_records:
         return lines.select("row_idx", F.col("value").alias("raw"))
@@ -119,13 +117,13 @@ def load_predictions(spark: SparkSession, path: str, json_records: bool | None =
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Responsible-AI cases; blank lines are skipped by the reader."""
-    return spark.read.schema(S.RAI_CASE).json(path)
+    """Responsible-AI cases; blank lines are skipped, a malformed one fails the job."""
+    return spark.read.schema(S.RAI_CASE).option("mode", "FAILFAST").json(path)
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A whole-file JSON document (manifest, metrics, operational, RAI)."""
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    """A whole-file JSON document (manifest, metrics, operational, RAI); a broken one fails the job."""
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -144,13 +142,3 @@ def stream_table(spark: SparkSession, base: str, name: str, schema: str, **optio
     if files.getFileStatus(target).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
-
-
-def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input of fewer blocks than cores by a unique key.
-
-    Text work is bound by CPU, and a small compressed file is one task. Large
-    inputs have more blocks than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

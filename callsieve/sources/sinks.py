@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.functions.verdict import render_completion, render_prompt
-from callsieve.schemas import FEATURES
+from callsieve.operators.features import upsert_features
+from callsieve.schemas import FEATURES, SPLITS
+from callsieve.session import fresh_dir, path_exists
 
 
 def to_examples(pairs: DataFrame) -> DataFrame:
@@ -43,18 +45,52 @@ def write_predictions(raw: DataFrame, path: str) -> None:
     to_prediction_records(raw).write.mode("overwrite").text(path)
 
 
+def checked_features(features: DataFrame) -> DataFrame:
+    """Feature rows as they are; one that breaks a column's constraint fails the job."""
+    c = F.col
+    rules = {
+        "split": c("split").isin(*SPLITS),
+        "char_count": c("char_count") >= 0,
+        "word_count": c("word_count") >= 0,
+        "turn_count": c("turn_count") >= 1,
+        "digit_ratio": c("digit_ratio").between(0, 1),
+        "has_url": c("has_url").isin(0, 1),
+        "is_fraud": c("is_fraud").isin(0, 1),
+        "dataset_name": c("dataset_name").isNotNull(),
+        "dataset_version": c("dataset_version").isNotNull(),
+        "entity_id": c("entity_id").isNotNull(),
+    }
+    checked = {
+        name: F.when(F.coalesce(rule, F.lit(False)), c(name)).otherwise(
+            F.raise_error(F.lit(f"feature table: {name} breaks its constraint")).cast(features.schema[name].dataType)
+        )
+        for name, rule in rules.items()
+    }
+    return features.withColumns(checked)
+
+
 def write_features(features: DataFrame, path: str) -> None:
-    """Replace the partitions of the versions at hand, leave others alone.
+    """Upsert by ``(entity_id, dataset_version)`` into the stored table.
 
-    One version always has one set of rows, so this equals an upsert by
-    ``(entity_id, dataset_version)``.
+    ``features`` may be a part of a version: rows of other keys stay, a key that is
+    stored in another split moves. Only the versions at hand are read and replaced:
+    merged into a new snapshot in the shared folder first, then swapped in, so a
+    failure before that leaves the stored table as it was.
     """
+    spark = features.sparkSession
     columns = [f.name for f in FEATURES.fields]
+    incoming = checked_features(features.select(*columns))
+    if path_exists(spark, path):
+        touched = features.select("dataset_version").distinct()
+        stored = spark.read.schema(FEATURES).parquet(path).join(touched, "dataset_version", "left_semi")
+        incoming = upsert_features(stored.select(*columns), incoming.withColumn("ordinal", F.lit(0).cast("long")))
+    snapshot = fresh_dir(spark, "features")
+    incoming.select(*columns).write.parquet(snapshot)
     (
-        features.select(*columns)
+        spark.read.schema(FEATURES).parquet(snapshot)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset_version", "split")
+        .partitionBy("dataset_version")
         .parquet(path)
     )
 

@@ -3,7 +3,13 @@
 Every micro-batch ends in one write: a ledger folder ``batch_id=N`` partitioned
 by ``outcome``. Curated events, dead letters, statistics and offsets are all
 views of it, so they cannot disagree, and replaying a batch overwrites its own
-folder. A batch counts once its small ``commits/batch_id=N`` file exists.
+folder. A batch counts once its small ``commits/batch_id=N`` file exists; that
+file holds the running totals and next offsets of all stream partitions, so
+only the latest one is ever read.
+
+A record is skipped if its own position was handled by an earlier batch. The
+next offset alone does not decide: files of one drop may arrive in any order
+and over many batches.
 
 Raw text is used inside the first projection only and is never stored.
 """
@@ -11,6 +17,7 @@ Raw text is used inside the first projection only and is never stored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +27,8 @@ from callsieve.functions.contract import with_event
 from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import payload_hash, text_features, text_hash
 from callsieve.schemas import STREAM_RECORD
-from callsieve.sources.files import indexed_lines, widen
+from callsieve.session import path_exists
+from callsieve.sources.files import indexed_lines
 
 LEDGER_SCHEMA = (
     "stream_partition string, source_offset long, event_id string, occurred_at timestamp, "
@@ -34,9 +42,7 @@ COMMIT_SCHEMA = (
 )
 ACCEPTED, DUPLICATE, DEAD, SKIPPED = "accepted", "duplicate", "dead_letter", "skipped"
 
-# Ids of a batch are broadcast only up to this many rows; ids are at most 128
-# characters, so this stays within some tens of megabytes.
-BROADCAST_IDS = 200_000
+COUNTERS = ("processed", "accepted", "dead_lettered", "duplicates", "skipped_by_checkpoint")
 
 
 @dataclass(frozen=True)
@@ -62,30 +68,35 @@ class StreamStore:
         return f"{self.root}/drops"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
-def commits(spark: SparkSession, store: StreamStore) -> DataFrame:
-    """Statistics and next offset per committed batch and stream partition."""
-    return _read(spark, store.commits, COMMIT_SCHEMA)
+def latest_commit(spark: SparkSession, store: StreamStore, below: int | None = None) -> int | None:
+    """Number of the last batch (before ``below``) that is committed whole; names are listed, no file is read."""
+    if not path_exists(spark, store.commits):
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store.commits)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    numbers = sorted((int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")), reverse=True)
+    for n in numbers:
+        if (below is None or n < below) and path_exists(spark, f"{store.commits}/batch_id={n}/_SUCCESS"):
+            return n
+    return None
+
+
+def _commit(spark: SparkSession, store: StreamStore, batch_id: int | None) -> DataFrame:
+    if batch_id is None:
+        return spark.createDataFrame([], COMMIT_SCHEMA).drop("batch_id")
+    return spark.read.schema(COMMIT_SCHEMA).parquet(f"{store.commits}/batch_id={batch_id}").drop("batch_id")
 
 
 def _committed(spark: SparkSession, store: StreamStore, outcome: str) -> DataFrame:
-    # One batch id per micro-batch: Spark sizes this side itself.
-    done = commits(spark, store).select("batch_id").distinct()
-    return (
-        _read(spark, store.ledger, LEDGER_SCHEMA)
-        .filter(F.col("outcome") == outcome)
-        .join(done, "batch_id", "left_semi")
-    )
+    last = latest_commit(spark, store)
+    done = _read(spark, store.ledger, LEDGER_SCHEMA).filter(F.col("outcome") == outcome)
+    return done.filter(F.col("batch_id") <= (-1 if last is None else last))
 
 
 def curated_events(spark: SparkSession, store: StreamStore) -> DataFrame:
@@ -105,10 +116,7 @@ def dead_letters(spark: SparkSession, store: StreamStore) -> DataFrame:
 
 def stream_statistics(spark: SparkSession, store: StreamStore) -> DataFrame:
     """Totals per stream partition over all committed batches."""
-    counters = ("processed", "accepted", "dead_lettered", "duplicates", "skipped_by_checkpoint")
-    return commits(spark, store).groupBy("stream_partition").agg(
-        *[F.sum(c).alias(c) for c in counters], F.max("next_offset").alias("next_offset")
-    )
+    return _commit(spark, store, latest_commit(spark, store))
 
 
 def read_event(records: DataFrame) -> DataFrame:
@@ -147,22 +155,19 @@ def first_of_each_event(valid: DataFrame) -> DataFrame:
     ).select("event_id", "_at.*")
 
 
-def resolve_outcomes(
-    records: DataFrame, seen_ids: DataFrame | None = None, small_batch: bool = False
-) -> DataFrame:
+def resolve_outcomes(records: DataFrame, seen_ids: DataFrame | None = None) -> DataFrame:
     """Add ``outcome`` to parsed records of one batch.
 
-    ``records`` has a boolean ``skip`` (below the checkpoint). ``seen_ids`` are
-    the accepted event ids of earlier batches. With ``small_batch`` the few ids
-    of the batch are sent to the history instead of shuffling the history.
+    ``records`` has a boolean ``skip`` (handled before). ``seen_ids`` are the accepted
+    event ids of earlier batches. The ids of the batch are sent to the history
+    first; Spark broadcasts them if they are as small as its own check asks.
     """
     live = records.filter(~F.col("skip") & F.col("error_code").isNull())
     first = first_of_each_event(live.select("event_id", "stream_partition", "source_offset"))
     if seen_ids is not None:
-        if small_batch:
-            ids = F.broadcast(live.select("event_id").distinct())
-            seen_ids = seen_ids.join(ids, "event_id", "left_semi")
-        first = first.join(seen_ids.select("event_id"), "event_id", "left_anti")
+        ids = live.select("event_id").distinct()
+        seen_ids = seen_ids.select("event_id").join(ids, "event_id", "left_semi")
+        first = first.join(seen_ids, "event_id", "left_anti")
     winner = first.select("stream_partition", "source_offset", F.lit(True).alias("_new"))
     outcome = (
         F.when(F.col("skip"), SKIPPED)
@@ -200,47 +205,72 @@ def repeated_offsets(records: DataFrame) -> DataFrame:
     )
 
 
+def _handled_before(
+    spark: SparkSession, store: StreamStore, parsed: DataFrame, offsets: DataFrame, batch_id: int
+) -> DataFrame:
+    """``parsed`` with ``skip``: the record's position is in the ledger of an earlier batch.
+
+    Offsets from a partition's next offset on cannot be, so in the usual case no
+    ledger file is opened.
+    """
+    placed = parsed.join(offsets.select("stream_partition", F.col("next_offset").alias("_next")), "stream_partition", "left")
+    below = placed.filter(F.col("source_offset") < F.col("_next")).select("stream_partition", "source_offset")
+    if below.isEmpty():
+        return placed.drop("_next").withColumn("skip", F.lit(False))
+    known = (
+        _read(spark, store.ledger, LEDGER_SCHEMA)
+        .filter((F.col("batch_id") < batch_id) & (F.col("outcome") != SKIPPED))
+        .select("stream_partition", "source_offset")
+        .join(below.distinct(), ["stream_partition", "source_offset"], "left_semi")
+        .distinct()
+        .withColumn("_known", F.lit(True))
+    )
+    return (
+        placed.drop("_next").join(known, ["stream_partition", "source_offset"], "left")
+        .withColumn("skip", F.coalesce("_known", F.lit(False)))
+        .drop("_known")
+    )
+
+
+def running_totals(before: DataFrame, batch: DataFrame) -> DataFrame:
+    """Totals with a batch added; the next offset never goes back."""
+    return before.unionByName(batch).groupBy("stream_partition").agg(
+        *[F.sum(c).alias(c) for c in COUNTERS], F.max("next_offset").alias("next_offset")
+    )
+
+
 def process_batch(batch: DataFrame, batch_id: int, store: StreamStore) -> None:
     """One micro-batch, all or nothing; running it again changes nothing."""
     spark = batch.sparkSession
-    earlier = F.col("batch_id") < batch_id
-    offsets = (
-        commits(spark, store).filter(earlier)
-        .groupBy("stream_partition").agg(F.max("next_offset").alias("_next"))
-    )
-    parsed = (
-        read_event(widen(batch, "stream_partition", "source_offset"))
-        .join(offsets, "stream_partition", "left")
-        .withColumn("skip", F.col("source_offset") < F.coalesce("_next", F.lit(0)))
-        .drop("_next")
-        .persist()
-    )
+    before = _commit(spark, store, latest_commit(spark, store, below=batch_id))
+    parsed = read_event(batch).persist()
+    target = f"{store.ledger}/batch_id={batch_id}"
+    done = spark.createDataFrame([], COMMIT_SCHEMA).drop("batch_id")
     try:
-        size = parsed.count()
-        if size == 0:
-            return
-        bad = repeated_offsets(parsed.filter(~F.col("skip"))).first()
-        if bad:
-            raise ValueError(
-                "stream offsets must be strictly increasing: "
-                f"{bad['stream_partition']}/{bad['source_offset']} occurs {bad['n']} times"
+        if parsed.count():
+            marked = _handled_before(spark, store, parsed, before, batch_id)
+            bad = repeated_offsets(marked.filter(~F.col("skip"))).first()
+            if bad:
+                raise ValueError(
+                    "stream offsets must be strictly increasing: "
+                    f"{bad['stream_partition']}/{bad['source_offset']} occurs {bad['n']} times"
+                )
+            history = None
+            if path_exists(spark, store.ledger):
+                history = (
+                    _read(spark, store.ledger, LEDGER_SCHEMA)
+                    .filter((F.col("outcome") == ACCEPTED) & (F.col("batch_id") < batch_id))
+                    .select("event_id")
+                )
+            (
+                resolve_outcomes(marked, history)
+                .withColumn("ingested_at", F.current_timestamp())
+                .drop("skip")
+                .write.mode("overwrite").partitionBy("outcome").parquet(target)
             )
-        history = None
-        if _exists(spark, store.ledger):
-            history = (
-                _read(spark, store.ledger, LEDGER_SCHEMA)
-                .filter((F.col("outcome") == ACCEPTED) & earlier)
-                .select("event_id")
-            )
-        resolved = resolve_outcomes(parsed, history, small_batch=size <= BROADCAST_IDS)
-        target = f"{store.ledger}/batch_id={batch_id}"
-        (
-            resolved.withColumn("ingested_at", F.current_timestamp())
-            .drop("skip")
-            .write.mode("overwrite").partitionBy("outcome").parquet(target)
-        )
-        written = spark.read.option("basePath", store.ledger).schema(LEDGER_SCHEMA).parquet(target)
-        outcome_statistics(written).coalesce(1).write.mode("overwrite").parquet(
+            ledger = spark.read.option("basePath", store.ledger).schema(LEDGER_SCHEMA).parquet(target)
+            done = outcome_statistics(ledger)
+        running_totals(before, done).coalesce(1).write.mode("overwrite").parquet(
             f"{store.commits}/batch_id={batch_id}"
         )
     finally:
@@ -255,6 +285,7 @@ def record_stream(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     return (
         spark.readStream.schema(STREAM_RECORD)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", True)
         .parquet(path)
     )
 
@@ -281,43 +312,48 @@ def land_jsonl(
 ) -> None:
     """Turn the new lines of an append-only JSONL file into a record drop.
 
-    Lines below the committed offset are not landed again. Blank lines are
-    records too and keep their offset.
+    The drop is a folder named by partition and first offset. Lines below the
+    committed offset are not landed again, and a drop that is there is left
+    alone: the stream may have listed its files. Blank lines are records too and
+    keep their offset.
     """
-    next_offset = (
+    found = (
         stream_statistics(spark, store)
         .filter(F.col("stream_partition") == stream_partition)
         .select("next_offset")
         .first()
     )
-    start = (next_offset["next_offset"] or 0) if next_offset else 0
+    start = (found["next_offset"] or 0) if found else 0
+    target = f"{store.drops}/{quote(stream_partition, safe='')}-{start:020d}"
+    if path_exists(spark, f"{target}/_SUCCESS"):
+        return
     lines = indexed_lines(spark, path, skip_blank=False).filter(F.col("row_idx") >= start)
+    if lines.isEmpty():
+        return
     lines.select(
         F.lit(stream_partition).alias("stream_partition"),
         F.col("row_idx").alias("source_offset"),
         F.col("value").alias("payload"),
-    ).write.mode("append").parquet(store.drops)
+    ).write.mode("overwrite").parquet(target)
 
 
 def process_jsonl(
     spark: SparkSession, path: str, store: StreamStore, stream_partition: str
 ) -> DataFrame:
-    """Land and ingest the new lines of a file; returns the statistics of the
-    batches this call has committed."""
-    before = [r["batch_id"] for r in commits(spark, store).agg(F.max("batch_id").alias("batch_id")).collect()]
+    """Land and ingest the new lines of a file; returns what this call has added.
+
+    Drops of a call that broke off are ingested first, so that landing starts at
+    the offset they reach.
+    """
+    rows = {r["stream_partition"]: r for r in stream_statistics(spark, store).collect()}
+    before = rows.get(stream_partition)
+    if path_exists(spark, store.drops):
+        run_ingestion(record_stream(spark, store.drops), store)
     land_jsonl(spark, path, store, stream_partition)
-    run_ingestion(record_stream(spark, store.drops), store)
-    last = before[0] if before and before[0] is not None else -1
-    counters = ("processed", "accepted", "dead_lettered", "duplicates", "skipped_by_checkpoint")
-    mine = F.col("batch_id") > last
-    return (
-        commits(spark, store)
-        .filter(F.col("stream_partition") == stream_partition)
-        .groupBy("stream_partition")
-        .agg(
-            *[F.coalesce(F.sum(F.when(mine, F.col(c))), F.lit(0)).alias(c) for c in counters],
-            F.max("next_offset").alias("next_offset"),
-        )
+    if path_exists(spark, store.drops):
+        run_ingestion(record_stream(spark, store.drops), store)
+    return stream_statistics(spark, store).filter(F.col("stream_partition") == stream_partition).select(
+        "stream_partition", *[(F.col(c) - (before[c] if before else 0)).alias(c) for c in COUNTERS], "next_offset"
     )
 
 

@@ -128,6 +128,8 @@ def test_line_numbers_hold_across_blocks(spark, tmp_path, folder):
         df = indexed_lines(spark, f"{folder}/long.txt")
         assert df.count() == 20000
         assert df.filter(F.col("value") != F.concat(F.lit("line "), F.col("row_idx").cast("string"))).count() == 0
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(file" not in plan  # the lines stay where they are
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
@@ -137,3 +139,50 @@ def test_manifest_document(spark, tmp_path, folder):
         {"dataset": "d", "config_snapshot": {"test_size": 0.15}, "splits": {"test": {"n": 2, "fraud_ratio": 0.5}}}, indent=2))
     r = read_document(spark, f"{folder}/manifest.json", MANIFEST_DOC).first()
     assert (r.dataset, r.splits["test"].n, r.config_snapshot.test_size) == ("d", 2, 0.15)
+
+
+def test_positions_are_unique_over_the_files_of_a_folder(spark, tmp_path):
+    for name, texts in (("b", ["z", "y"]), ("a", ["x", "", "y"])):
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one" / f"{name}.jsonl").write_text("".join(json.dumps({"dialogue": t, "label": 1}) + "\n" if t else "\n" for t in texts))
+    rest = [lines(tmp_path / f"r{i}.jsonl", [{"dialogue": f"only {i}", "label": 0, "labels": 0, "type": "t"}]) for i in range(3)]
+    got = corpora.load_corpus(spark, "calls", [f"file://{tmp_path}/one", *rest], read_json_lines).filter("source_rank = 0").orderBy("row_idx").collect()
+    assert [(r.row_idx, r.transcript) for r in got] == [(0, "x"), (1, "y"), (2, "z")]
+
+
+def test_repeated_positions_and_keys_are_refused(spark):
+    df = spark.createDataFrame([(0, "a", 1), (0, "b", 0)], "row_idx long, dialogue string, label int")
+    with pytest.raises(ValueError, match="2 rows at position 0"):
+        corpora.first_of_each_text(corpora.unify([(corpora.SourceSpec("s"), df)]))
+    with pytest.raises(Exception, match="no place in the order"):
+        corpora.first_of_each_text(corpora.unify([(corpora.SourceSpec("s"), df.limit(1).withColumn("row_idx", F.lit(-1)))])).collect()
+    twice = spark.createDataFrame([(0, "p"), (0, "p"), (1, "p")], "row_idx long, raw string")
+    gold = spark.createDataFrame([(0, True), (1, True)], "row_idx long, gold boolean")
+    with pytest.raises(Exception, match="predictions repeat a key"):
+        evaluate.align(twice, gold).collect()
+
+
+def test_broken_documents_fail_the_job(spark, tmp_path, folder):
+    (tmp_path / "c.jsonl").write_text('{"case_id": "one"}\n{"case_id": \n')
+    (tmp_path / "m.json").write_text('{"dataset": "d"')
+    from callsieve.sources.files import load_cases
+
+    for read in (lambda: load_cases(spark, f"{folder}/c.jsonl"), lambda: read_document(spark, f"{folder}/m.json", MANIFEST_DOC)):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|Malformed"):
+            read().collect()
+
+
+def test_shared_folder_or_stop():
+    from callsieve.session import shared_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///work/"
+    assert shared_dir(Session) == "hdfs:///work"

@@ -24,7 +24,7 @@ def test_upsert_replaces_and_adds(spark):
 
 
 def test_write_is_idempotent_and_keeps_other_versions(spark, folder):
-    f = X.latest_features(rows(spark, (0, "call me at 555-0100", "test", True), (1, "team meeting", "test", False)))
+    f = X.latest_features(rows(spark, (0, "ring 30 bells", "test", True), (1, "quiet evening", "test", False)))
     other = f.withColumn("dataset_version", F.lit("v0"))
     for frame in (other, f, f):
         sinks.write_features(frame, f"{folder}/store")
@@ -34,10 +34,27 @@ def test_write_is_idempotent_and_keeps_other_versions(spark, folder):
     assert (t.fraud_rows, t.rows) == (1, 2)
     plan = X.feature_lookup(stored, "v1", "test", True)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset_version" in plan
-    assert "PushedFilters: [IsNotNull(is_fraud), EqualTo(is_fraud,1)]" in plan
+    assert "PushedFilters: [IsNotNull(split), IsNotNull(is_fraud)" in plan
 
 
 def test_report_counts_rows_and_keys(spark):
     f = rows(spark, (0, "x", "train", True), (1, "x", "test", True), (2, "y", "val", False))
     r = X.materialize_report(f).first()
     assert (r.materialized_rows, r.stored_rows, r.train_rows, r.val_rows, r.test_rows) == (3, 2, 1, 1, 1)
+
+
+def test_partial_batches_keep_the_rest(spark, folder):
+    path = f"{folder}/store"
+    sinks.write_features(X.latest_features(rows(spark, (0, "a", "train", False), (1, "b", "train", False), (2, "c", "val", False))), path)
+    sinks.write_features(X.latest_features(rows(spark, (0, "b", "test", True), (1, "d", "train", True))), path)
+    got = sorted((r.split, r.is_fraud) for r in read_features(spark, path).collect())
+    assert got == [("test", 1), ("train", 0), ("train", 1), ("val", 0)]
+
+
+def test_constraints(spark, folder):
+    import pytest
+
+    good = X.latest_features(rows(spark, (0, "a", "train", False)))
+    for bad in ({"split": F.lit("exam")}, {"turn_count": F.lit(0)}, {"digit_ratio": F.lit(1.5)}, {"has_url": F.lit(None).cast("int")}):
+        with pytest.raises(Exception, match="breaks its constraint"):
+            sinks.write_features(good.withColumns(bad), f"{folder}/s")

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from callsieve.streaming import ingest as I
 
 
-def event(event_id, transcript="Please pay 500 dollars"):
-    return json.dumps({"event_id": event_id, "occurred_at": "2026-07-23T10:00:00Z", "source": "centre", "transcript": transcript})
+def event(event_id, transcript="The gardener waters 12 roses", at="2031-02-03T04:05:06Z"):
+    return json.dumps({"event_id": event_id, "occurred_at": at, "source": "desk-7", "transcript": transcript})
 
 
-FIVE = [event("event-1"), "{not json", event("event-1", "duplicate id"), event("event-2", ""), event("event-3", "Visit https://example.test")]
+MIXED = ["[1, 2", event("rose", "See http://garden.example/rose now"), event("lily", ""), event("oak"), event("rose", "again"), event("elm")]
 FIELDS = ("processed", "accepted", "dead_lettered", "duplicates", "skipped_by_checkpoint", "next_offset")
 
 
@@ -27,22 +27,46 @@ def stats(spark, store):
     return {r.stream_partition: tuple(r[f] for f in FIELDS) for r in I.stream_statistics(spark, store).collect()}
 
 
-def test_jsonl_file_end_to_end_and_append(spark, tmp_path, folder):
-    """Five lines; a second call does nothing; an appended line is handled alone."""
-    file, store = tmp_path / "events.jsonl", I.StreamStore(f"{folder}/s")
-    file.write_text("\n".join(FIVE) + "\n")
-    call = lambda: tuple(I.process_jsonl(spark, f"file://{file}", store, "calls-0").select(*FIELDS).first())
-    assert call() == (5, 2, 2, 1, 0, 5)
-    assert call() == (0, 0, 0, 0, 0, 5)
+def test_jsonl_file_read_in_several_calls(spark, tmp_path, folder):
+    """Six lines, nothing new, then two more of which one is blank."""
+    file, store = tmp_path / "desk.jsonl", I.StreamStore(f"{folder}/s")
+    file.write_text("\n".join(MIXED) + "\n")
+    call = lambda: tuple(I.process_jsonl(spark, f"file://{file}", store, "desk/7").select(*FIELDS).first())
+    assert call() == (6, 3, 2, 1, 0, 6)
+    assert call() == (0, 0, 0, 0, 0, 6)
     curated = I.curated_events(spark, store).orderBy("event_id").collect()
-    assert [(r.event_id, r.has_url) for r in curated] == [("event-1", 0), ("event-3", 1)]
+    assert [(r.event_id, r.has_url, r.source_offset) for r in curated] == [("elm", 0, 5), ("oak", 0, 3), ("rose", 1, 1)]
     dead = I.dead_letters(spark, store).orderBy("source_offset").collect()
-    assert [(r.source_offset, r.error_code) for r in dead] == [(1, "invalid_json"), (3, "invalid_event:transcript:string_too_short")]
-    assert all(len(r.payload_hash) == 64 for r in dead) and "{not json" not in str(dead)
+    assert [(r.source_offset, r.error_code) for r in dead] == [(0, "invalid_json"), (2, "invalid_event:transcript:string_too_short")]
+    assert all(len(r.payload_hash) == 64 for r in dead) and "[1, 2" not in str(dead)
     with file.open("a") as f:
-        f.write("\n" + event("event-4") + "\n")
-    assert call() == (2, 1, 1, 0, 0, 7)      # the blank line is a record: invalid JSON
-    assert "pay 500" not in spark.read.parquet(store.ledger).toPandas().to_string()
+        f.write("\n" + event("ash") + "\n")
+    assert call() == (2, 1, 1, 0, 0, 8)
+    assert "gardener" not in spark.read.parquet(store.ledger).toPandas().to_string()
+
+
+def test_landing_twice_and_more_files_than_a_batch_takes(spark, tmp_path, folder):
+    file, store = tmp_path / "long.jsonl", I.StreamStore(f"{folder}/s")
+    file.write_text("".join(event(f"e{i}") + "\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        I.land_jsonl(spark, f"file://{file}", store, "p")
+        I.land_jsonl(spark, f"file://{file}", store, "p")
+        run(spark, store, files=4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert stats(spark, store) == {"p": (300, 300, 0, 0, 0, 300)}
+    assert I.latest_commit(spark, store) > 2
+
+
+def test_later_offsets_may_arrive_first(spark, folder):
+    store = I.StreamStore(f"{folder}/s")
+    drop(spark, store, "p", 5, [event(f"e{i}") for i in range(5, 10)])
+    run(spark, store, files=1)
+    drop(spark, store, "p", 0, [event(f"e{i}") for i in range(5)])
+    drop(spark, store, "p", 3, [event("e3"), event("e4"), event("e5")])
+    run(spark, store, files=1)
+    assert stats(spark, store) == {"p": (10, 10, 0, 0, 3, 10)}
 
 
 def test_event_id_is_unique_across_partitions_and_batches(spark, folder):
@@ -57,21 +81,16 @@ def test_event_id_is_unique_across_partitions_and_batches(spark, folder):
     assert stats(spark, store) == {"a": (4, 2, 0, 2, 0, 4), "b": (2, 1, 0, 1, 0, 2)}
 
 
-def test_history_lookup_by_shuffle_gives_the_same(spark, folder, monkeypatch):
-    monkeypatch.setattr(I, "BROADCAST_IDS", 0)
-    test_event_id_is_unique_across_partitions_and_batches(spark, folder)
-
-
 def test_replayed_batch_changes_nothing(spark, folder):
     """A batch that failed half way or is run twice leaves one result."""
     store = I.StreamStore(f"{folder}/s")
-    first = spark.createDataFrame([("p", i, v) for i, v in enumerate(FIVE)], I.STREAM_RECORD)
-    second = spark.createDataFrame([("p", 5, event("event-1")), ("p", 6, event("event-9"))], I.STREAM_RECORD)
+    first = spark.createDataFrame([("p", i, v) for i, v in enumerate(MIXED)], I.STREAM_RECORD)
+    second = spark.createDataFrame([("p", 6, event("rose")), ("p", 7, event("fir"))], I.STREAM_RECORD)
     I.process_batch(first, 0, store)
     for _ in range(3):
         I.process_batch(second, 1, store)
-    assert stats(spark, store) == {"p": (7, 3, 2, 2, 0, 7)}
-    assert I.curated_events(spark, store).count() == 3
+    assert stats(spark, store) == {"p": (8, 4, 2, 2, 0, 8)}
+    assert I.curated_events(spark, store).count() == 4
 
 
 def test_uncommitted_ledger_is_not_visible(spark, folder, monkeypatch):
