@@ -213,6 +213,7 @@ def near_duplicates(
             ["label", "dim", "cell", "_i", "_j"],
             compare,
             "key binary, other binary, links long",
+            "key",
         ),
         "links",
     )

@@ -37,7 +37,7 @@ STEP = 16
 #: Least posterior probability of a link with which a candidate is kept.
 TOLERANCE = 1e-6
 BUCKET_BLOCK = 512
-CLUSTER_BLOCK = 128
+CLUSTER_BLOCK = 256
 #: Five-grams that the texts of a block may have together.
 BLOCK_GRAMS = 1_000_000
 
@@ -192,7 +192,7 @@ def _candidate_edges(classes: DataFrame, threshold: float, tolerance: float) ->
         take = lambda rows: key.take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([take(found_a), take(found_b)], ["a", "b"])
 
-    return map_groups(groups, ["band", "values", "_i", "_j"], step, "a binary, b binary")
+    return map_groups(groups, ["band", "values", "_i", "_j"], step, "a binary, b binary", "key")
 
 
 def exact_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -274,7 +274,7 @@ def _verified(docs: DataFrame, members: DataFrame, words: int, threshold: float,
             [pa.array(k, pa.binary()), pa.array(o, pa.binary()), pa.array(n, pa.int64())], ["key", "other", "links"]
         )
 
-    return map_groups(groups, ["cluster", "_i", "_j"], step, "key binary, other binary, links long")
+    return map_groups(groups, ["cluster", "_i", "_j"], step, "key binary, other binary, links long", "key")
 
 
 def similar_documents(
