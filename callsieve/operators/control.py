@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.functions.staging import evaluate_once
+from callsieve.session import fresh_dir
 
 # Words of two or more letters, digits or underscores, by Unicode category.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -126,6 +127,9 @@ def train_control(
         checkpointInterval=10,
         seed=seed,
     )
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the lineage of all trees is kept
+        context.setCheckpointDir(fresh_dir(train.sparkSession, "trees"))
     features = PipelineModel(tfidf_stages(labelled, text, min_df, max_features))
     fitted = Pipeline(stages=[trees_stage]).fit(features.transform(labelled).select("features", "label"))
     return PipelineModel([*features.stages, *fitted.stages])

@@ -12,11 +12,11 @@ from callsieve.sources.files import load_predictions, load_split
 
 
 def score_domain(
-    spark: SparkSession, split_path: str, predictions_path: str, domain: str
+    spark: SparkSession, split_path: str, predictions_path: str, domain: str, json_records: bool | None = None
 ) -> DataFrame:
     """Aligned and scored model outputs of one domain."""
     gold = load_split(spark, split_path).select("row_idx", "transcript", "gold")
-    raw = load_predictions(spark, predictions_path)
+    raw = load_predictions(spark, predictions_path, json_records)
     return evaluate.score_outputs(evaluate.align(raw, gold)).withColumn("domain", F.lit(domain))
 
 

@@ -189,6 +189,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") > 35).alias("is_fraud"),
         F.col("value").alias("latency_ms"),
         F.col("event_type").alias("key"),
+        F.col("event_id").alias("request_id"),
     )
 
 

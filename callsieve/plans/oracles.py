@@ -550,8 +550,7 @@ WITH {PARSED}, {DOMINANT}, s AS (SELECT domain, {SUMMARY_COUNTS} FROM judged GRO
 r AS (SELECT s.*, {_rates()}, {_rates('fallback_', 'fallback_')}, share_of_false_positives
       FROM s LEFT JOIN dominant d ON s.domain = d.domain),
 l AS (SELECT r.domain, m.metric, m.value FROM r, LATERAL (VALUES {_SIDE_ROWS}) m(metric, value))
-SELECT metric, {", ".join(f"round(max(value) FILTER (domain = '{d}'), 9) AS {d}" for d in ("de", "en", "es", "fr"))}
-FROM l GROUP BY metric""",
+SELECT metric, domain, round(value, 9) AS value FROM l""",
     "rai_checks": f"""
 WITH {PARSED}, {RAI}
 SELECT candidate, round(schema_validity, 9) AS schema_validity,
@@ -562,9 +561,9 @@ SELECT candidate, round(schema_validity, 9) AS schema_validity,
   failed_checks = '' AS passed, failed_checks FROM rai_failed""",
     "promotion_gate": f"""
 WITH {METRICS}, {RAI}, ops AS (
-  SELECT lang, avg(length(text)) - 500 AS p95,
-    count(*) FILTER (length(text) > 20000)::DOUBLE / count(*) AS err
-  FROM documents GROUP BY lang),
+  SELECT lang, quantile_cont(value, 0.95) AS p95,
+    count(*) FILTER (event_type = 'error' AND event_id % 2 = 0)::DOUBLE / count(*) AS err
+  FROM events JOIN documents ON event_id = doc_id GROUP BY lang),
 e AS (
   SELECT c.lang AS candidate, array_to_string(list_filter([
     CASE WHEN NOT coalesce(f1 >= 0.85, FALSE) THEN 'f1' END,
@@ -589,7 +588,7 @@ WITH r AS (
   SELECT event_type AS key, event_id,
     row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos,
     count(*) OVER w AS window_size, avg((value > 35)::INTEGER) OVER w AS rate FROM events
-  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
 SELECT key, event_id, pos, window_size, {STATUS} FROM r""",
     "drift_status": f"""
 WITH l AS (SELECT event_type AS key, value > 35 AS f FROM events QUALIFY row_number() OVER (
@@ -606,10 +605,10 @@ SELECT e.endpoint, b.le, (SELECT count(*) FROM req
 WITH {REQUESTS}, {_slid(60, 5)}
 SELECT status, t, round(count(*) / 60.0::DOUBLE, 9) AS rate FROM slid GROUP BY ALL""",
     "invalid_rate": f"""
-WITH {REQUESTS}, {_slid(300, 60)}
+WITH {REQUESTS}, {_slid(300, 5)}
 SELECT t, round(count(*) FILTER (invalid) / 300.0::DOUBLE, 9) AS rate FROM slid GROUP BY ALL""",
     "latency_p95": f"""
-WITH {REQUESTS}, {_slid(300, 60)}, b(le, bound) AS (VALUES {_LE}),
+WITH {REQUESTS}, {_slid(300, 5)}, b(le, bound) AS (VALUES {_LE}),
 h AS (SELECT endpoint, t, bound, count(*) FILTER (latency_ms / 1000 <= bound) AS c,
         count(*) AS n FROM slid, b GROUP BY endpoint, t, bound),
 p AS (SELECT *, lag(c, 1, 0) OVER w AS pc, lag(bound, 1, 0::DOUBLE) OVER w AS pb FROM h
@@ -631,7 +630,7 @@ SELECT type, name, n AS request_count, f AS failure_count,
   round(lo, 6) AS min_ms, round(hi, 6) AS max_ms, round(n / span, 6) AS requests_per_s,
   round(f / span, 6) AS failures_per_s, {_PCT} FROM g, s""",
     "live_rates": f"""
-WITH {REQUESTS} SELECT (sec // 3600) * 3600 AS window_start, endpoint AS key, count(*) AS requests,
+WITH {REQUESTS} SELECT (sec // 60) * 60 AS window_start, endpoint AS key, count(*) AS requests,
   count(*) FILTER (status >= 500) AS errors, count(*) FILTER (invalid) AS invalid,
   round(avg(is_fraud::INTEGER), 9) AS fraud_rate FROM req GROUP BY ALL""",
     "event_contract": f"""
@@ -661,3 +660,8 @@ SELECT term, tf, df, round(ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (
 FROM c ORDER BY tf DESC, term LIMIT 20000""",
 }
 ORACLE_SQL["stream_drift"] = ORACLE_SQL["drift_status"]
+ORACLE_SQL["drift_rolling_short"] = ORACLE_SQL["drift_rolling"].replace("199 PRECEDING", "9 PRECEDING")
+ORACLE_SQL["corpus_from_files"] = ORACLE_SQL["corpus_union"]
+ORACLE_SQL["feature_store"] = ORACLE_SQL["feature_upsert"]
+ORACLE_SQL["stream_resume"] = ORACLE_SQL["stream_stats"]
+ORACLE_SQL["predictions_roundtrip"] = "SELECT doc_id AS row_idx, lang, sha256(text) AS raw_sha FROM documents"

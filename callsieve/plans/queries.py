@@ -23,8 +23,8 @@ from callsieve.operators.dedup import keep_first
 from callsieve.plans import inputs as I
 from callsieve.schemas import DriftPolicy, RegressionFloors
 from callsieve.session import configure, fresh_dir
-from callsieve.sources import corpora
-from callsieve.sources.files import stream_table
+from callsieve.sources import corpora, sinks
+from callsieve.sources.files import load_predictions, read_features, read_json_lines, stream_table
 from callsieve.streaming import ingest, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +159,31 @@ def corpus_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def corpus_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from landed JSON Lines, several files for each source."""
+    root = fresh_dir(spark, "landed")
+    read = []
+    for rank, (spec, frame) in enumerate(_sources(spark, sf)):
+        frame.repartition(3, "row_idx").write.json(f"{root}/{rank}")
+        read.append((spec, read_json_lines(spark, f"{root}/{rank}", spec.schema)))
+    kept = corpora.first_of_each_text(corpora.unify(read))
+    return kept.select(
+        "source_rank", "row_idx", text.fingerprint(F.col("transcript")).alias("fingerprint"),
+        F.col("verdict.risk").alias("risk"), F.col("verdict.fraud_type").alias("fraud_type"),
+        F.col("verdict.reason").alias("reason"),
+    )
+
+
+def predictions_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw outputs written as records, read back and aligned with gold rows."""
+    raw = I.transcripts(spark, sf).select("row_idx", F.col("transcript").alias("raw"))
+    path = fresh_dir(spark, "predictions")
+    sinks.write_predictions(raw, path)
+    gold = I.transcripts(spark, sf).select("row_idx", "lang")
+    back = evaluate.align(load_predictions(spark, path, json_records=True), gold)
+    return back.select("row_idx", "lang", F.sha2("raw", 256).alias("raw_sha"))
+
+
 def call_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     v = verdict.call_verdict(F.col("is_scam"), F.col("call_type"))
     rows = I.typed_calls(spark, sf).select("call_type", "is_scam", v.alias("v"))
@@ -226,6 +251,18 @@ def feature_upsert(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def feature_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through the stored table: all rows, then a batch of labelled ones."""
+    path = fresh_dir(spark, "feature-store")
+    for labelled in (False, True):
+        rows = features.latest_features(_feature_rows(spark, sf, labelled=labelled))
+        sinks.write_features(rows.withColumn("is_fraud", F.coalesce("is_fraud", F.lit(0))), path)
+    return read_features(spark, path).select(
+        "entity_id", "dataset_version", "split", "char_count", "word_count", "turn_count",
+        _r("digit_ratio", 12).alias("digit_ratio"), "has_url", "is_fraud",
+    )
+
+
 def materialize_report(spark: SparkSession, sf: str) -> DataFrame:
     return features.materialize_report(_feature_rows(spark, sf, labelled=False))
 
@@ -373,8 +410,8 @@ def domain_comparison(spark: SparkSession, sf: str) -> DataFrame:
         errors.dominant_false_positive(rows, ["domain"]),
         ["domain"],
     )
-    table = errors.side_by_side(rates, "domain", ["de", "en", "es", "fr"])
-    return table.select("metric", *[_r(c).alias(c) for c in ("de", "en", "es", "fr")])
+    names = [c for c in rates.columns if c != "domain"]
+    return rates.unpivot("domain", names, "metric", "value").select("metric", "domain", _r("value").alias("value"))
 
 
 # --- release -------------------------------------------------------------------
@@ -395,7 +432,10 @@ def rai_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Languages are candidates, and so are roles, which have no evidence."""
+    """Languages are candidates, and so are roles, which have no evidence.
+
+    Each request served the document of its number.
+    """
     llm = evaluate.binary_metrics(_scored(spark, sf), ["domain"]).withColumnRenamed(
         "domain", "candidate"
     )
@@ -403,10 +443,11 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     roles = I.table(spark, sf, "conversations").select(F.col("role").alias("candidate"))
     candidates = d.select(F.col("lang").alias("candidate")).unionByName(roles).distinct()
     operational = (
-        d.groupBy(F.col("lang").alias("candidate"))
+        I.requests(spark, sf).join(d.select("doc_id", "lang"), F.col("request_id") == F.col("doc_id"))
+        .groupBy(F.col("lang").alias("candidate"))
         .agg(
-            (F.avg(F.length("text")) - 500).alias("p95_latency_ms"),
-            (F.count_if(F.length("text") > 20000) / F.count(F.lit(1))).alias("error_rate"),
+            F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
+            (F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("error_rate"),
         )
     )
     evidence = release.promotion_evidence(candidates, llm, operational, _rai(spark, sf))
@@ -427,7 +468,15 @@ def retry_resolution(spark: SparkSession, sf: str) -> DataFrame:
 # --- drift and telemetry -------------------------------------------------------
 
 def drift_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    rolled = drift.rolling_drift(I.served(spark, sf), DriftPolicy(window=10), bucket_seconds=3600)
+    return _rolled(drift.rolling_drift(I.served(spark, sf)))
+
+
+def drift_rolling_short(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over ten predictions, so that blocks and their seams occur."""
+    return _rolled(drift.rolling_drift(I.served(spark, sf), DriftPolicy(window=10)))
+
+
+def _rolled(rolled: DataFrame) -> DataFrame:
     return rolled.select(
         "key", "event_id", "pos", "window_size", _r("fraud_rate").alias("fraud_rate"),
         _r("psi").alias("psi"), "alert",
@@ -457,12 +506,12 @@ def request_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def invalid_rate(spark: SparkSession, sf: str) -> DataFrame:
-    r = telemetry.invalid_rate(I.requests(spark, sf), 300, 60)
+    r = telemetry.invalid_rate(I.requests(spark, sf), 300, 5)
     return r.select("t", _r("rate").alias("rate"))
 
 
 def latency_p95(spark: SparkSession, sf: str) -> DataFrame:
-    r = telemetry.latency_quantile(I.requests(spark, sf), 0.95, 300, 60)
+    r = telemetry.latency_quantile(I.requests(spark, sf), 0.95, 300, 5)
     return r.select("endpoint", "t", _r("latency_seconds").alias("latency_seconds"))
 
 
@@ -473,7 +522,7 @@ def latency_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_rates(spark: SparkSession, sf: str) -> DataFrame:
-    r = monitor.live_rates(I.requests(spark, sf), "1 hour")
+    r = monitor.live_rates(I.requests(spark, sf), "1 minute")
     return r.select(
         F.unix_seconds("window_start").alias("window_start"), "key", "requests", "errors",
         "invalid", _r("fraud_rate").alias("fraud_rate"),
@@ -522,6 +571,20 @@ def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.stream_statistics(spark, _run_stream(spark, sf))
 
 
+def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from drops with interleaved offsets, a file a batch, in two runs."""
+    configure(spark)
+    store = ingest.StreamStore(fresh_dir(spark, "stream"))
+    block = F.floor(F.col("source_offset") / 50)  # an event and its repeat stay in one file
+    drop = F.pmod(block, F.lit(4))
+    records = I.call_records(spark, sf).withColumn("_drop", drop)
+    for turn in ((3, 1), (2, 0)):
+        for k in turn:
+            records.filter(F.col("_drop") == k).drop("_drop").repartition(2, block).write.parquet(f"{store.drops}/{k}")
+        ingest.run_ingestion(ingest.record_stream(spark, store.drops, 1), store)
+    return ingest.stream_statistics(spark, store)
+
+
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Drift status after the event stream has been folded into the tails."""
     configure(spark)
@@ -553,14 +616,6 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def control_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Control fitted on the labelled documents and applied to all of them."""
-    rows = I.gold(spark, sf, text=True)
-    model = control.train_control(rows, trees=5, depth=3, max_features=500)
-    scored = control.score_control(model, I.transcripts(spark, sf))
-    return scored.select("row_idx", "pred", _r("score", 6).alias("score"))
-
-
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -571,8 +626,9 @@ QUERIES: dict[str, Query] = {
         prediction_parse, model_metrics, metrics_long, champion, error_rows, error_summary,
         error_case_counts, invalid_reasons, dominant_false_positive, review_sample,
         domain_comparison, rai_checks, promotion_gate, retry_resolution, drift_rolling,
-        drift_status, request_counts, latency_histogram, request_rate, invalid_rate,
+        drift_rolling_short, drift_status, request_counts, latency_histogram, request_rate, invalid_rate,
         latency_p95, latency_table, live_rates, event_contract, stream_curated,
-        stream_dead_letter, stream_stats, stream_drift, tfidf_terms, control_scores,
+        stream_dead_letter, stream_stats, stream_resume, stream_drift, tfidf_terms, corpus_from_files,
+        predictions_roundtrip, feature_store,
     )
 }

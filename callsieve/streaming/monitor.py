@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from callsieve.functions.numeric import safe_ratio
 from callsieve.operators.drift import last_rows, window_status
 from callsieve.schemas import DriftPolicy
-from callsieve.streaming.ingest import _exists
+from callsieve.session import path_exists
 
 TAIL_COLUMNS = ("key", "ts", "event_id", "is_fraud")
 
@@ -41,7 +41,7 @@ def update_drift(batch: DataFrame, batch_id: int, root: str, policy: DriftPolicy
 
 def _latest_tail(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     for n in range(batch_id - 1, -1, -1):
-        if _exists(spark, f"{_tail_path(root, n)}/_SUCCESS"):
+        if path_exists(spark, f"{_tail_path(root, n)}/_SUCCESS"):
             return spark.read.parquet(_tail_path(root, n))
     return None
 

@@ -15,8 +15,7 @@ def con():
 
 def test_every_sql_text_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    without = set(QUERIES) - set(entry_points.oracle_sql())
-    assert without == {"control_scores"}
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
@@ -26,9 +25,3 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, con, name):
     assert difference(entry_points.queries()[name](spark, SF), con, entry_points.oracle_sql()[name]) is None
-
-
-def test_control_scores_every_document(spark, con):
-    df = entry_points.queries()["control_scores"](spark, SF)
-    n = con.execute("SELECT count(*) FROM documents").fetchone()[0]
-    assert df.filter("score between 0 and 1").count() == n
