@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.functions.numeric import safe_ratio, two_bucket_psi
-from callsieve.operators.ordering import join_null_safe
+from callsieve.operators.ordering import ranges, with_starts
 from callsieve.schemas import DriftPolicy
 
 _BLOCK_WINDOWS = 16  # block length in windows: copies add 1/16 of the rows
@@ -19,38 +19,21 @@ def _status(df: DataFrame, policy: DriftPolicy, size: Column) -> DataFrame:
     )
 
 
-def sequence_positions(
-    served: DataFrame, key: str = "key", bucket_seconds: int = 60
-) -> DataFrame:
+def sequence_positions(served: DataFrame, key: str = "key") -> DataFrame:
     """Add ``pos``: 1, 2, ... per key in ``(ts, event_id)`` order.
 
-    A key is never ordered in one task. Counts per time bucket give each
-    bucket its start; rows are numbered inside their bucket only.
+    Rows are dealt in ranges of key, time and event, so neither a key nor a burst
+    within one second is ordered in one task.
     """
-    timed = served.withColumn("_bucket", F.floor(F.unix_seconds("ts") / bucket_seconds))
-    before = (
-        Window.partitionBy(key).orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    starts = (
-        timed.groupBy(key, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_start", F.sum("_n").over(before) - F.col("_n"))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(key, "_bucket").orderBy("ts", "event_id")
-    return (
-        join_null_safe(timed, starts, [key, "_bucket"])
-        .withColumn("pos", F.col("_start") + F.row_number().over(inside))
-        .drop("_bucket", "_start")
-    )
+    placed = with_starts(ranges(served, [key], "ts", "event_id"), [key], _before=F.count(F.lit(1)))
+    pos = F.col("_before") + F.col("_seq") - F.col("_first") + 1
+    return placed.withColumn("pos", pos).drop("_part", "_seq", "_first", "_before")
 
 
 def rolling_drift(
     served: DataFrame,
     policy: DriftPolicy = DriftPolicy(),
     key: str = "key",
-    bucket_seconds: int = 60,
 ) -> DataFrame:
     """Rate, PSI and alert after every prediction over the last N of its key.
 
@@ -61,7 +44,7 @@ def rolling_drift(
     """
     n = policy.window
     length = n * _BLOCK_WINDOWS
-    placed = sequence_positions(served, key, bucket_seconds)
+    placed = sequence_positions(served, key)
     index = F.col("pos") - 1
     block = F.floor(index / length)
     tail = index % length >= length - (n - 1)

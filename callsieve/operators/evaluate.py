@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from callsieve.functions.numeric import safe_ratio
 from callsieve.functions.verdict import is_fraud, risk_score, with_verdict
-from callsieve.operators.ordering import join_null_safe
+from callsieve.operators.ordering import ranges, with_starts
 from callsieve.schemas import RegressionFloors
 
 METRICS = ("precision", "recall", "f1", "pr_auc", "json_validity", "n")
-_SCORE_BUCKETS = 4096
 
 
 def align(predictions: DataFrame, gold: DataFrame, keys: Sequence[str] = ("row_idx",)) -> DataFrame:
@@ -64,50 +63,33 @@ def _score_counts(scored: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _descending(by: list[str], order: str):
-    return (
-        Window.partitionBy(*by).orderBy(F.col(order).desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+def _running(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Add running ``cum_n`` and ``cum_pos`` over falling scores.
 
-
-def _running(counts: DataFrame, by: list[str], many_scores: bool) -> DataFrame:
-    """Add running ``cum_n`` and ``cum_pos`` over falling scores."""
-    if not many_scores:
-        w = _descending(by, "score")
-        return counts.withColumn("cum_n", F.sum("n").over(w)).withColumn(
-            "cum_pos", F.sum("pos").over(w)
-        )
-    # Two levels: totals of at most 4,097 score ranges per group give each
-    # range its start; inside a range the sums are local to one task.
-    ranged = counts.withColumn("_range", F.floor(F.col("score") * _SCORE_BUCKETS))
-    w = _descending(by, "_range")
-    starts = (
-        ranged.groupBy(*by, "_range")
-        .agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
-        .withColumn("_n0", F.sum("_n").over(w) - F.col("_n"))
-        .withColumn("_pos0", F.sum("_pos").over(w) - F.col("_pos"))
-        .drop("_n", "_pos")
+    Totals of earlier ranges give each range of scores its start; inside a range the
+    sums are local to one task.
+    """
+    ranged = with_starts(ranges(counts, by, F.desc("score")), by, _n0=F.sum("n"), _pos0=F.sum("pos"))
+    local = (
+        Window.partitionBy(*by, "_part").orderBy("_seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = _descending([*by, "_range"], "score")
     return (
-        join_null_safe(ranged, starts, [*by, "_range"])
-        .withColumn("cum_n", F.col("_n0") + F.sum("n").over(local))
+        ranged.withColumn("cum_n", F.col("_n0") + F.sum("n").over(local))
         .withColumn("cum_pos", F.col("_pos0") + F.sum("pos").over(local))
-        .drop("_range", "_n0", "_pos0")
+        .drop("_part", "_seq", "_first", "_n0", "_pos0")
     )
 
 
-def binary_metrics(scored: DataFrame, by: Sequence[str], many_scores: bool = False) -> DataFrame:
+def binary_metrics(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Confusion counts, precision, recall, F1, average precision, validity.
 
     ``scored`` has booleans ``gold`` and ``pred`` and a ``score``. Rows are
     first counted per score (map-side combined), so average precision - the
-    step sum over distinct thresholds - needs no sort of the rows. Set
-    ``many_scores`` for continuous scores.
+    step sum over distinct thresholds - needs no sort of the rows.
     """
     by = list(by)
-    running = _running(_score_counts(scored, by), by, many_scores)
+    running = _running(_score_counts(scored, by), by)
     totals = running.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in ("n", "pos", "tp", "fp", "fn", "tn", "judged", "valid")],
         F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")).alias("_area"),

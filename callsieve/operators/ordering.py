@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsieve.session import fresh_dir
+
 ROW_BITS = 48
 #: Room for an ordinal of :func:`ordinal` as the row of another one.
 NESTED_BITS = 60
@@ -40,3 +42,27 @@ def join_null_safe(
     other = right.withColumnsRenamed(names)
     same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in names.items()])
     return left.join(other, same, how).drop(*names.values())
+
+
+def ranges(df: DataFrame, by: Sequence[str], *order: Column | str) -> DataFrame:
+    """``df`` sorted by ``by`` and ``order`` in ranges of about equal size, with ``_part`` and ``_seq``.
+
+    ``_part`` numbers the range, ``_seq`` grows by one from row to row inside it. Ranges
+    are cut by sampled quantiles, so a key, a second or a score that holds most rows
+    is spread as long as ``order`` tells its rows apart. Written to the shared folder:
+    every later use sees the same ranges.
+    """
+    cut = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    numbered = cut.withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    path = fresh_dir(df.sparkSession, "ranges")
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+
+
+def with_starts(ranged: DataFrame, by: Sequence[str], **sums: Column) -> DataFrame:
+    """Add ``_first`` (least ``_seq`` of the group in its range) and, for each of ``sums``,
+    its total over the group's earlier ranges. One row for each group and range is moved."""
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(F.min("_seq").alias("_first"), *[c.alias(n) for n, c in sums.items()])
+    starts = parts.withColumns({n: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in sums})
+    return join_null_safe(ranged, starts, [*by, "_part"])

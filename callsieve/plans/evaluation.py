@@ -30,7 +30,7 @@ def evaluate_models(
     metrics = evaluate.binary_metrics(llm_scored, ["domain"]).withColumn("model", F.lit("llm"))
     if baseline_scored is not None:
         metrics = metrics.unionByName(
-            evaluate.binary_metrics(baseline_scored, ["domain"], many_scores=True).withColumn(
+            evaluate.binary_metrics(baseline_scored, ["domain"]).withColumn(
                 "model", F.lit("baseline")
             )
         )

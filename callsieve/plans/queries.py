@@ -331,7 +331,7 @@ def _baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     llm = evaluate.binary_metrics(_scored(spark, sf), ["domain"])
-    base = evaluate.binary_metrics(_baseline(spark, sf), ["domain"], many_scores=True)
+    base = evaluate.binary_metrics(_baseline(spark, sf), ["domain"])
     return llm.withColumn("model", F.lit("llm")).unionByName(
         base.withColumn("model", F.lit("baseline"))
     )

@@ -35,7 +35,7 @@ def served(spark, n=4000):
 def test_blocks_equal_a_plain_queue(spark, window):
     df = served(spark)
     got = {}
-    for r in drift.rolling_drift(df, DriftPolicy(window=window), bucket_seconds=30).collect():
+    for r in drift.rolling_drift(df, DriftPolicy(window=window)).collect():
         got.setdefault(r.key, {})[r.pos] = (r.window_size, r.fraud_rate, r.psi, r.alert)
     order = df.orderBy("ts", "event_id").collect()
     for key in {r.key for r in order}:
@@ -96,3 +96,18 @@ def test_live_rates_run_as_a_stream(spark, folder):
     q.awaitTermination()
     t = spark.table("live").agg(F.sum("requests").alias("n"), F.sum("errors").alias("e"), F.sum("invalid").alias("i")).first()
     assert (t.n, t.e, t.i) == (100, 10, 25)
+
+
+def test_a_burst_is_not_one_task(spark):
+    """All rows in one second of one key: the ranges share them out."""
+    from callsieve.operators.ordering import ranges
+
+    df = spark.range(4000).select(F.lit("k").alias("key"), F.timestamp_seconds(F.lit(0)).alias("ts"), F.col("id").alias("event_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    try:
+        sizes = [r["count"] for r in ranges(df, ["key"], "ts", "event_id").groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 3000
+    placed = drift.sequence_positions(df)
+    assert placed.filter("pos <> event_id + 1").count() == 0

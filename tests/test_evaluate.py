@@ -21,14 +21,13 @@ def scored(spark, data):
         (740, 247, 116, 823, (0.7497467071935157, 0.8644859813084113, 0.8030385241454151, 0.7083739706527536)),
     ],
 )
-@pytest.mark.parametrize("many", [False, True])
-def test_published_confusions(spark, tp, fp, fn, tn, expected, many):
+def test_published_confusions(spark, tp, fp, fn, tn, expected):
     i, n = F.col("id"), tp + fp + fn + tn
     df = spark.range(n).select(
         F.lit("d").alias("domain"), ((i < tp) | ((i >= tp + fp) & (i < tp + fp + fn))).alias("gold"),
         (i < tp + fp).alias("pred"),
     ).withColumn("score", F.col("pred").cast("double"))
-    r = evaluate.binary_metrics(df, ["domain"], many_scores=many).first()
+    r = evaluate.binary_metrics(df, ["domain"]).first()
     assert (r.tp, r.fp, r.fn, r.tn) == (tp, fp, fn, tn)
     assert (r.precision, r.recall, r.f1, r.pr_auc) == pytest.approx(expected, abs=1e-12)
     assert r.json_validity is None
@@ -39,7 +38,7 @@ def test_continuous_scores_equal_the_step_sum(spark):
         (F.col("id") % 2).cast("string").alias("domain"), (F.hash("id") % 5 == 0).alias("gold"),
         (F.pmod(F.hash(F.col("id") * 3), F.lit(977)) / 1000.0).alias("score"),
     ).withColumn("pred", F.col("score") > 0.5)
-    got = {r.domain: r.pr_auc for r in evaluate.binary_metrics(df, ["domain"], many_scores=True).collect()}
+    got = {r.domain: r.pr_auc for r in evaluate.binary_metrics(df, ["domain"]).collect()}
     data = df.collect()
     for domain in ("0", "1"):
         mine = [(r.score, r.gold) for r in data if r.domain == domain]
