@@ -49,6 +49,8 @@ NAME_APART = frozenset(
     "signup login signin pagination pager toolbar widget widgets copyright disclaimer skip alert outbrain taboola".split()
 )
 COMMENT_APART = frozenset("comment comments disqus respond replies reply".split())
+#: Beside such words the others tell of the page around the element ("has-sidebar").
+NOT_APART = frozenset("has with no without free".split())
 SIGMA = 1.0
 SHARE = 0.9
 PIECE = 1 << 16
@@ -112,8 +114,10 @@ class PageLines(HTMLParser):
         names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
         if tag == "article" and not in_article:
             return bool(names & COMMENT_APART)
-        if tag in HEADING or tag in ("p", "span", "a", "b", "i", "em", "strong", "td", "tr"):
-            names &= NAME_APART - {"header", "footer", "alert", "notice"}
+        if names & NOT_APART:
+            return False
+        if tag in HEADING or tag in ("td", "tr", "th"):
+            names -= {"header", "footer"}
         return bool(names & NAME_APART)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

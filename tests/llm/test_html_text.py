@@ -74,3 +74,10 @@ def test_table_with_nulls_and_clashes(spark):
 
 def test_deep_nesting_takes_linear_time():
     assert main_text("<div>x" * 100_000).count("x") >= 1
+
+
+def test_names_of_parts():
+    body = "<div class='layout has-sidebar'><h1>Head</h1><p>{0}</p><p class='notice'>Note {0}</p><table><tr class=header><td>Cell</table>{1}</div>"
+    for extra in ("<div id=userComments>{0}</div>", "<p class=ad>{0}</p>", "<div role=alert>{0}</div>", "<div style='display: none'>{0}</div>", "<div hidden>{0}</div>"):
+        line = " ".join(LONG.split())
+        assert main_text(page(body.format(LONG, extra.format(LONG)))) == f"Head\n{line}\nCell"
