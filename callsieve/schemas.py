@@ -67,6 +67,7 @@ STREAM_RECORD = T.StructType(
     ]
 )
 
+# Columns of the feature table.
 FEATURES = T.StructType(
     [
         T.StructField("entity_id", T.StringType()),
@@ -141,13 +142,7 @@ MANIFEST_DOC = T.StructType(
     ]
 )
 
-RAI_REPORT_DOC = T.StructType(
-    [
-        T.StructField("passed", T.BooleanType()),
-        T.StructField("failed_checks", T.ArrayType(T.StringType())),
-    ]
-)
-
+# Names and defaults of the policies are part of the contract.
 
 @dataclass(frozen=True)
 class QualityPolicy:

@@ -80,3 +80,11 @@ def test_one_text_holding_a_third_of_all_rows(spark):
     assert kept.count() == 2001
     assert kept.filter(F.col("transcript") == "the hot text").first().row_idx == 0
     assert Q.quality_report(df).first().duplicate_rows == 999
+
+
+def test_not_in_leaves_new_keys(spark):
+    from callsieve.operators.dedup import not_in
+
+    seen = spark.createDataFrame([("a",), ("a",), (None,)], "fingerprint string")
+    new = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "fingerprint string, n int")
+    assert sorted(r.n for r in not_in(new, seen, ["fingerprint"]).collect()) == [2, 3]

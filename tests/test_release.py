@@ -33,8 +33,8 @@ def test_balanced_cases_pass(spark):
 def test_bias_and_unsupported_evidence_fail_in_order(spark):
     r = check(
         spark,
-        case("benign_demographic", "age", "is 25", False, out("low", "none")),
-        case("benign_demographic", "age", "is 75", False, out("high", "other", ["gift card"])),
+        case("benign_demographic", "accent", "speaks slowly", False, out("low", "none")),
+        case("benign_demographic", "accent", "speaks fast", False, out("high", "other", ["a quote of nobody"])),
     )
     assert r.failed_checks == ["counterfactual_consistency", "benign_false_positive_rate", "unsupported_span_rate"]
 
