@@ -42,7 +42,7 @@ SPLIT = (
 )
 WHITE = frozenset(chr(i) for i in range(0x3001) if regex.match(f"[{SPACE}]", chr(i)))
 #: Cells and pieces that a worker keeps; when full, it starts anew.
-CELLS = 2_000_000
+CELLS = 1_000_000
 PIECES = 300_000
 KEPT_CHARS = 64
 

@@ -55,7 +55,7 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode())
-        if len(self) < 500_000 and len(word) <= 40:
+        if len(self) < 250_000 and len(word) <= 40:
             self[word] = h
         return h
 

@@ -61,7 +61,7 @@ class _Facts(dict):
             len(token) > 18,
             token[-1] in ".!?",
         )
-        if len(self) < 300_000 and len(token) <= 40:
+        if len(self) < 200_000 and len(token) <= 40:
             self[token] = made
         return made
 

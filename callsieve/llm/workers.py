@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch: what a worker holds at once, besides one row.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
