@@ -3,20 +3,22 @@
 The model is a trie of byte contexts of up to ``ORDER`` bytes with counts of the
 byte that follows. A byte is coded at the longest known context that has seen
 it; each longer one is left by an escape. Escapes are estimated by method D: a
-symbol seen ``n`` times weighs ``2 n - 1``, the escape one for each symbol (and two
-for each pruned occurrence). Symbols that a longer context has seen are
-excluded from the shorter ones. The code length of a text
-is the sum over its bytes and one end mark.
+symbol seen ``n`` times weighs ``2 n - 1``, the escape one for each symbol. Symbols
+that a longer context has seen are excluded from the shorter ones. The code
+length of a text is the sum over its bytes and one end mark.
 
 Texts are read as their tokens: capital A-Z lowered, split at ASCII white
-space, joined by one space. Counts of the longest n-grams come from one pass
-and one combined aggregation over all training texts; shorter ones are sums of
-them. The trie is broadcast: per order only edges with at least
-``2**-EDGE_BITS`` of all symbols stay, so there are at most ``2**EDGE_BITS``,
-whatever the corpus. What is pruned is coded by shorter contexts.
-
-Token frequencies for the base score are not bounded that way: frequent words
-(at least ``2**-WORD_BITS`` of all tokens) are broadcast, the others are joined.
+space, joined by one space. No edge of the trie is left out, however rare, so
+the model grows with the corpus and is never in one place: the distinct windows
+of all texts (context and symbol, one combined aggregation) are dealt by their
+nearest ``NEAR`` context bytes, which brings each one's longer contexts together,
+and get their logarithms there. Edges of shorter contexts are broadcast for that; the
+alphabet bounds them (``256**NEAR``), not the corpus.
+
+Texts then need the logarithms of their windows: frequent windows (at least
+``2**-EDGE_BITS`` of all) are broadcast, the others are joined. Token frequencies
+for the base score go the same way (``2**-WORD_BITS`` of all tokens). What is
+frequent decides the speed, never a score.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.grouping import written
+from callsieve.llm.grouping import map_groups, written
 from callsieve.llm.langid import held_out
 from callsieve.llm.workers import bounded_batches, worker_state
 
 ORDER = 5
+NEAR = 3
 EDGE_BITS = 21
 WORD_BITS = 19
 #: Ends a text and stands for what is before it; no UTF-8 text holds it.
@@ -96,8 +99,8 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``code, n`` of all longest n-grams of the one text column."""
+def _task_grams(texts: DataFrame) -> DataFrame:
+    """``code, n`` of the longest n-grams of the one text column, summed in part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [], [], 0
@@ -125,7 +128,12 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             yield from out()
 
     bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "code long, n long")
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """``code, n`` of all longest n-grams of the one text column."""
+    return _task_grams(texts).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -161,7 +169,7 @@ class Trie(NamedTuple):
 
 
 def trie(grams: DataFrame, edge_bits: int = EDGE_BITS) -> Trie:
-    """All orders from the counts of the longest n-grams, pruned by share."""
+    """All orders of a small model in one place, pruned by share; :func:`priced` needs neither."""
     total = grams.agg(F.sum("n").alias("n")).first().n or 0
     least = max(1, -(-total // 2**edge_bits))
     codes, counts = [], []
@@ -194,13 +202,20 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Ppm:
-    """A trie ready for coding: logarithms to base 10."""
+    """A trie ready for coding: logarithms to base 10.
 
-    def __init__(self, model: Trie):
-        self._orders: list[_Order] = []
+    With ``shorter`` (coding its own orders only), ``model`` goes on from its orders.
+    """
+
+    def __init__(self, model: Trie, shorter: Ppm | None = None):
+        self._orders: list[_Order] = list(shorter._orders) if shorter else []
+        below = shorter._below if shorter else None
+        ready = len(self._orders)
+        if shorter:
+            model = Trie(shorter._model.codes + model.codes, shorter._model.counts + model.counts)
         weights = [2 * n - 1 for n in model.counts]
-        below = None
-        for order, (code, n) in enumerate(zip(model.codes, weights)):
+        for order in range(ready, len(model.codes)):
+            code, n = model.codes[order], weights[order]
             context = code >> np.uint64(8)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(code) else np.empty(0, int)
             names = context[first]
@@ -225,18 +240,12 @@ class Ppm:
                     _Order(code, np.log10(n), names, np.log10(total + escape), np.log10(escape / (total + escape)), total_below, escape_below)
                 )
             below = (names, total, escape)
-        top = self._orders[ORDER]
-        at = _find(top.contexts, top.edges >> np.uint64(8))
-        self._known = _HashTable(top.edges, (top.log_count - top.log_total[at]).astype(np.float64))
+        self._model, self._below = model, below
 
     def code_lengths(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the symbol of each window."""
-        out = self._known.get(codes)
-        rest = np.flatnonzero(np.isnan(out))
-        if len(rest):
-            distinct, back = np.unique(codes[rest], return_inverse=True)
-            out[rest] = self._descend(distinct)[back]
-        return out
+        distinct, back = np.unique(codes, return_inverse=True)
+        return self._descend(distinct)[back]
 
     def _descend(self, codes: np.ndarray) -> np.ndarray:
         logp = np.zeros(len(codes))
@@ -307,6 +316,42 @@ class _HashTable:
         return out
 
 
+def _keys(codes: np.ndarray) -> pa.Array:
+    """Windows as join keys: eight bytes with a space, which no word holds."""
+    raw = (codes | np.uint64(ord(" ") << 48)).astype(">u8")
+    ends = np.arange(0, 8 * len(raw) + 1, 8, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
+def _bytes_of(keys: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(keys.to_pylist()), ">u8").astype(np.uint64) & np.uint64((1 << 48) - 1)
+
+
+def priced(grams: DataFrame) -> DataFrame:
+    """``key, m, logp`` of every window of ``grams (code, n, m)``.
+
+    ``n`` is how often training texts have the window, 0 for one that is only asked for.
+    """
+    edge = F.col("code").bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
+    near = grams.filter("n > 0").groupBy(edge.alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    code, n = near.column("code").to_numpy().astype(np.uint64), near.column("n").to_numpy().astype(np.int64)
+    short = [_merged([code & np.uint64((1 << 8 * (k + 1)) - 1)], [n]) if len(code) else (code, n) for k in range(NEAR)]
+    shared = grams.sparkSession.sparkContext.broadcast(short)
+    key = uuid.uuid4().hex
+
+    def price(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        shorter = worker_state("ppm-shorter", key, lambda: Ppm(Trie(*map(list, zip(*shared.value)))))
+        code = batch.column("code").to_numpy().astype(np.uint64)
+        n = batch.column("n").to_numpy()
+        seen, times = code[n > 0], n[n > 0].astype(np.int64)
+        longer = [_merged([seen & np.uint64((1 << 8 * (k + 1)) - 1)], [times]) if len(seen) else (seen, times) for k in range(NEAR, ORDER + 1)]
+        logp = Ppm(Trie(*map(list, zip(*longer))), shorter).code_lengths(code)
+        return pa.RecordBatch.from_arrays([_keys(code), batch.column("m"), pa.array(logp)], ["key", "m", "logp"])
+
+    context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
+    return map_groups(grams.select(context.alias("near"), "code", "n", "m"), ["near"], price, "key binary, m long, logp double", "code")
+
+
 def score_documents(
     docs: DataFrame,
     training: Column | None = None,
@@ -332,27 +377,40 @@ def score_documents(
         F.col(text_col).cast("string").alias("text"),
     )
     learned = texts.filter("training").select("text")
-    model = trie(written(gram_counts(learned), "grams"), edge_bits)
+    asked = _task_grams(learned).select("code", "n", F.col("n").alias("m")).union(
+        _task_grams(texts.filter("not training").select("text")).select("code", F.lit(0).cast("long"), "n")
+    )
+    grams = written(asked.groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "grams")
+    prices = written(priced(grams), "prices")
+    least_m = max(1, -(-(prices.agg(F.sum("m").alias("m")).first().m or 0) // 2**edge_bits))
+    near = prices.filter(F.col("m") >= least_m).select("key", "logp").toArrow()
+    windows_of = _bytes_of(near.column("key")), near.column("logp").to_numpy()
     counts = written(word_counts(learned), "words")
     facts = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = learned.count()
     n, v = (facts.n or 0) + ends, facts.v + (ends > 0)
     least = max(1, -(-n // 2**word_bits))
     frequent = {bytes(r.word): r.c for r in counts.filter(F.col("c") >= least).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(model), {w: log10(c + 1) for w, c in frequent.items()}))
+    shared = docs.sparkSession.sparkContext.broadcast((windows_of, {w: log10(c + 1) for w, c in frequent.items()}))
     key = uuid.uuid4().hex
     log_all, log_end = log10(n + v + 1), log10(ends + 1)
 
-    fields = [
-        ("row", pa.int64()), ("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("logs", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("tf", pa.int64()),
-    ]
-    schema = pa.schema(fields)
+    facts_type = pa.struct(
+        [
+            ("id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+            ("logs", pa.float64()), ("score", pa.float64()),
+        ]
+    )
+    schema = pa.schema([("row", pa.int64()), ("facts", facts_type), ("key", pa.binary()), ("tf", pa.int32())])
 
-    def rows_of(held: list[tuple], ppm: Ppm, logs: dict[bytes, float]) -> Iterator[pa.RecordBatch]:
-        """One row for each text, and one for each of its words that are not frequent."""
+    def rows_of(held: list[tuple], table: _HashTable, logs: dict[bytes, float]) -> Iterator[pa.RecordBatch]:
+        """One row for each text, and one for each of its words and windows that are not frequent."""
         coded = windows([h[3] for h in held])
-        score = np.add.reduceat(ppm.code_lengths(coded.codes), coded.starts)
+        logp = table.get(coded.codes)
+        missed = np.flatnonzero(np.isnan(logp))
+        logp[missed] = 0
+        score = np.add.reduceat(logp, coded.starts)
+        numbers = np.array([h[0] for h in held], np.int64)
         whole: list[tuple] = []
         rare: list[tuple] = []
         for (row, doc, train, words), s in zip(held, score.tolist()):
@@ -364,48 +422,64 @@ def score_documents(
                 else:
                     known += tf
                     total += tf * log
-            whole.append((row, doc, train, len(words) + 1, known, total, s))
-        columns = list(zip(*whole))
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c, f[1]) for c, f in zip(columns, fields)), pa.array([b"\0 %d" % w[0] for w in whole]), pa.nulls(len(whole), pa.int64())],
-            schema=schema,
-        )
+            whole.append((doc, train, len(words) + 1, known, total, s))
+        facts = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*whole), facts_type)], fields=list(facts_type))
+        own = pa.array([b" %d" % h[0] for h in held], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), facts, own, pa.nulls(len(whole), pa.int32())], schema=schema)
         for i in range(0, len(rare), 200_000):
             row, word, tf = zip(*rare[i : i + 200_000])
-            none = [pa.nulls(len(row), f[1]) for f in fields[1:7]]
+            none = pa.nulls(len(row), facts_type)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row, pa.int64()), none, pa.array(word, pa.binary()), pa.array(tf, pa.int32())], schema=schema
+            )
+        text, code = np.searchsorted(coded.starts, missed, "right") - 1, coded.codes[missed]
+        by = np.lexsort((code, text))
+        text, code = text[by], code[by]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])])) if len(code) else by
+        times = np.diff(np.append(first, len(code))).astype(np.int32)
+        text, code = text[first], code[first]
+        for i in range(0, len(code), 200_000):
+            row = pa.array(numbers[text[i : i + 200_000]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), *none, pa.array(word, pa.binary()), pa.array(tf, pa.int64())], schema=schema
+                [row, pa.nulls(len(row), facts_type), _keys(code[i : i + 200_000]), pa.array(times[i : i + 200_000])], schema=schema
             )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
-            parts, logs = shared.value
-            return Ppm(Trie(*parts)), logs
+            known, logs = shared.value
+            return _HashTable(*known), logs
 
-        ppm, logs = worker_state("ppm", key, make)
+        table, logs = worker_state("ppm", key, make)
         held, size = [], 0
         for batch in batches:
             for row, doc, train, text in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append((row, doc, train, tokens(text)))
                 size += len(text or "")
                 if size >= SLICE:
-                    yield from rows_of(held, ppm, logs)
+                    yield from rows_of(held, table, logs)
                     held, size = [], 0
         if held:
-            yield from rows_of(held, ppm, logs)
+            yield from rows_of(held, table, logs)
 
     bounded_batches(docs.sparkSession)
-    kinds = "row long, id long, training boolean, n_tokens long, n_known long, logs double, score double, word binary, tf long"
+    names = facts_type.names
+    kinds = "row long, facts struct<id: long, training: boolean, n_tokens: long, n_known: long, logs: double, score: double>, key binary, tf int"
     found = texts.mapInArrow(scored, kinds)
-    # a text's own row has a word that no text can hold, so that those rows spread too
-    joined = found.join(counts.filter(F.col("c") < least), "word", "left")
-    rare_log = F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1))
-    rare_known = F.sum(F.when(F.col("c") > 0, F.col("tf")))
+    rare_words = counts.filter(F.col("c") < least).select(F.col("word").alias("key"), F.log10(F.col("c") + 1).alias("log"))
+    none = F.lit(None).cast("double")
+    rare = rare_words.withColumn("logp", none).union(prices.filter(F.col("m") < least_m).select("key", none, "logp"))
+    # a text's own row has a key that no word or window can be, so that those rows spread too;
+    # a word that training texts do not have costs log10(0 + 1)
+    joined = found.join(rare, "key", "left").select("row", *[F.col("facts")[c].alias(c) for c in names], "tf", "log", "logp")
+    rare_log = F.sum(F.col("tf") * F.col("log"))
+    rare_score = F.sum(F.col("tf") * F.col("logp"))
+    rare_known = F.sum(F.when(F.col("log").isNotNull(), F.col("tf")))
     return (
         joined.groupBy("row")
         .agg(
-            *[F.max(c).alias(c) for c in ("id", "training", "n_tokens", "n_known", "logs", "score")],
+            *[F.max(c).alias(c) for c in names],
             F.coalesce(rare_log, F.lit(0.0)).alias("rare_log"),
+            F.coalesce(rare_score, F.lit(0.0)).alias("rare_score"),
             F.coalesce(rare_known, F.lit(0)).alias("rare_known"),
         )
         .select(
@@ -415,7 +489,7 @@ def score_documents(
             (F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("logs") + F.col("rare_log") - F.col("n_tokens") * log_all).alias("base_score"),
-            "score",
+            (F.col("score") + F.col("rare_score")).alias("score"),
         )
     )
 

@@ -129,3 +129,16 @@ def test_query_on_held_out_texts(spark):
     bits = -sum(r.score for r in held) / log10(2)
     size = sum(len(normal(texts[r.doc_id])) + 1 for r in held)
     assert bits / size < 2.7  # bits a byte of unseen texts, from 160 training texts
+
+
+@pytest.mark.parametrize("bits", [ppm.EDGE_BITS, 5, 0])
+def test_no_edge_is_left_out_whatever_is_broadcast(spark, bits):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ba", "la", "é", "x", "Q", "1"]) for _ in range(rng.randrange(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["123456 \U0001f600", None, "the rare zyx"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slow = Slow([t for i, t in enumerate(texts) if i % 3])
+    rows = ppm.score_documents(docs, ppm.F.expr("doc_id % 3 > 0"), edge_bits=bits).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.score == pytest.approx(slow.score(texts[r.doc_id]))
