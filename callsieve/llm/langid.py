@@ -3,7 +3,8 @@
 Each language has a raw-content dictionary for zstandard, cut from its labelled
 texts. A text is compressed once with each dictionary; the language whose
 dictionary gives the fewest bytes wins. Where the best two are close, the text
-is compressed again at a higher level; what is still level then is rejected.
+is compressed again at a higher level; what is still close then is rejected: texts
+in a language that was not learned, in several languages or in none.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ SAMPLE_TEXTS = 600
 SAMPLE_CHARS = 600
 DICTIONARY_BYTES = 64 << 10
 LEVEL, CLOSE_LEVEL = 6, 12
-#: Results count as close below this share of the best size, or for short texts.
-CLOSE = 0.03
+#: Results count as close below this share of the best size, and below these bytes;
+#: short texts are compressed at the higher level at once.
+CLOSE, CLOSE_BYTES = 0.05, 3
 SHORT_BYTES = 400
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -103,7 +105,8 @@ class Classifier:
         """``(language, score, accepted)``.
 
         The score is the share of the winner when each byte saved doubles the
-        odds. A tie goes to the first language by name and is not accepted.
+        odds. A tie goes to the first language by name. Accepted is what wins by ``CLOSE``
+        of the best size and ``CLOSE_BYTES`` at least; with one language nothing can be close.
         """
         known = letters(text) if text else ""
         if not self._fast or not any(map(str.isalpha, known)):
@@ -114,11 +117,12 @@ class Classifier:
             sizes = [(len(compress(data)), lang) for lang, compress in (self._slow if close else self._fast)]
             best, lang = min(sizes)
             margin = min((n - best for n, other in sizes if other != lang), default=best)
-            if close or margin >= CLOSE * best:
+            clear = margin >= max(CLOSE * best, CLOSE_BYTES)
+            if close or clear:
                 break
             close = True
         score = 1.0 / sum(2.0 ** max(best - n, -1000) for n, _ in sizes)
-        return lang, score, margin > 0
+        return lang, score, clear
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

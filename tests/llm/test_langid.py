@@ -40,3 +40,18 @@ def test_odd_rows(spark, messy, nothing):
     assert classify(nothing, Model({})).count() == 0
     assert Classifier(Model({})).predict("some text") == ("und", 0.0, False)
     assert Classifier(Model({"en": b"aaaaaaaa", "fr": b"aaaaaaaa"})).predict("tie")[::2] == ("en", False)
+
+
+def test_rejects_unlearned_and_mixed_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null and length(text) > 400").cache()
+    texts = {lang: [r.text for r in docs.filter(f"lang = '{lang}'").orderBy("doc_id").limit(40).collect()] for lang in ("de", "en", "es", "fr")}
+    for left_out in ("de", "fr"):
+        known = Classifier(fit(docs.filter(docs.lang != left_out)))
+        assert sum(known.predict(t)[2] for t in texts[left_out]) <= 0.1 * len(texts[left_out])
+        assert sum(known.predict(t)[2] for t in texts["en"]) >= 0.95 * len(texts["en"])
+    known = Classifier(fit(docs))
+    halves = [(a[:2000], b[:2000]) for a, b in zip(texts["de"], texts["fr"])]
+    even = [(a[: min(len(a), len(b))], b[: min(len(a), len(b))]) for a, b in halves]
+    words = [" ".join(w for pair in zip(a.split(), b.split()) for w in pair) for a, b in even]
+    assert sum(known.predict(t)[2] for t in words) <= 0.25 * len(words)
+    assert known.predict("ζηθ αβγ δεζ ικλμ νξο πρστ " * 30)[2] is False
