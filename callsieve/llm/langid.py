@@ -51,7 +51,8 @@ def fit(
 
     About ``SAMPLE_TEXTS`` texts of each language, chosen by a hash of their ids, give a
     piece of ``SAMPLE_CHARS`` characters at a hashed place. Lines that occur in pieces
-    of two languages (licences, code) tell nothing and are left out.
+    of two languages (licences, code) tell nothing and are left out. Every sampled text
+    has its share of the dictionary, in the order of a hash of the ids.
     """
     rows = docs.select(
         F.col(id_col).cast("string").alias("id"),
@@ -65,23 +66,39 @@ def fit(
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_TEXTS / n))])
     place = F.xxhash64(F.lit("piece"), "id")
     size = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))
+    piece = F.substr("text", (F.pmod(place, size) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     pieces = (
         rows.filter(F.pmod(F.xxhash64(F.lit("text"), "id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-        .select("lang", "id", F.substr("text", (F.pmod(place, size) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"))
+        .select("lang", F.xxhash64(F.lit("order"), "id").alias("order"), piece.alias("piece"))
         .collect()
     )
-    lines: dict[str, dict[str, None]] = {lang: {} for lang in counts}
-    for r in sorted(pieces, key=lambda r: (r.lang, r.id or "", r.piece)):
+    lines: dict[str, dict[str, int]] = {lang: {} for lang in counts}
+    for i, r in enumerate(sorted(pieces, key=lambda r: (r.lang, r.order, r.piece))):
         for line in r.piece.split("\n"):
-            lines[r.lang][letters(line)] = None
+            lines[r.lang].setdefault(letters(line), i)
     seen = Counter(line for own in lines.values() for line in own)
     made = {}
     for lang, own in sorted(lines.items()):
-        content = " ".join(x for x in own if x and seen[x] == 1).encode()[-DICTIONARY_BYTES:]
+        shares: dict[int, list[str]] = {}
+        for line, i in own.items():
+            if line and seen[line] == 1:
+                shares.setdefault(i, []).append(line)
+        content = b" ".join(_cut_evenly([" ".join(x).encode() for x in shares.values()], DICTIONARY_BYTES))
         made[lang] = content if len(content) >= 8 else b" " * 8
     return Model(made)
 
 
+def _cut_evenly(pieces: list[bytes], size: int) -> list[bytes]:
+    """The pieces, the longest ones cut to one length, so that all fit in ``size`` with a byte between them."""
+    left = limit = size + 1  # the last piece needs no byte after it
+    for i, n in enumerate(sorted(len(p) + 1 for p in pieces)):
+        limit = left // (len(pieces) - i)
+        if n > limit:
+            break
+        left, limit = left - n, size + 1
+    return [p[: max(limit - 1, 0)] for p in pieces]
+
+
 class Classifier:
     """Compressors of a model, in one worker."""
 

@@ -1,6 +1,6 @@
 import zlib
 
-from callsieve.llm.langid import Classifier, Model, classify, fit, held_out
+from callsieve.llm.langid import DICTIONARY_BYTES, Classifier, Model, classify, fit, held_out
 from callsieve.llm.queries import op2_langid
 
 SF = "/root/testdata/sf0.01"
@@ -55,3 +55,11 @@ def test_rejects_unlearned_and_mixed_texts(spark):
     words = [" ".join(w for pair in zip(a.split(), b.split()) for w in pair) for a, b in even]
     assert sum(known.predict(t)[2] for t in words) <= 0.25 * len(words)
     assert known.predict("ζηθ αβγ δεζ ικλμ νξο πρστ " * 30)[2] is False
+
+
+def test_every_sampled_text_has_a_share_of_the_dictionary(spark):
+    letter = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    rows = [(i, " ".join([letter(i)] * 200), "xx") for i in range(400)]
+    made = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).dictionaries["xx"]
+    assert len(made) <= DICTIONARY_BYTES
+    assert all(letter(i).encode() in made for i in range(400))
