@@ -24,7 +24,7 @@ def test_keyed_work_never_gathers_in_one_task(spark):
 
 def test_no_python_workers_in_any_batch_query(spark):
     for name, query in QUERIES.items():
-        if name.startswith("stream_") or name == "control_scores":
+        if name.startswith("stream_"):
             continue
         text = plan(query(spark, SF))
         assert "Python" not in text and "Pandas" not in text, name
