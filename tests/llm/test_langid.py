@@ -1,6 +1,10 @@
 import zlib
 
-from callsieve.llm.langid import DICTIONARY_BYTES, Classifier, Model, classify, fit, held_out
+import pytest
+import zstandard
+
+from callsieve.llm import langid
+from callsieve.llm.langid import BLOCK_BYTES, DICTIONARY_BYTES, Classifier, Model, blocks, classify, fit, held_out
 from callsieve.llm.queries import op2_langid
 
 SF = "/root/testdata/sf0.01"
@@ -63,3 +67,71 @@ def test_every_sampled_text_has_a_share_of_the_dictionary(spark):
     made = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).dictionaries["xx"]
     assert len(made) <= DICTIONARY_BYTES
     assert all(letter(i).encode() in made for i in range(400))
+
+
+def joined(spark, lang, size):
+    """A long text of many learned ones; every other document, so that the dictionary has not seen it all."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(f"lang = '{lang}' and source <> 'src0'").select("doc_id", "text")
+    text = "\n".join(r.text for r in rows.orderBy("doc_id").collect())
+    return text[:size]
+
+
+def test_long_texts_are_accepted_and_unlearned_ones_are_not(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").cache()
+    model = fit(docs)
+    known = Classifier(model)
+    long_texts = {lang: joined(spark, lang, 1_000_000) for lang in model.dictionaries}
+    for lang, text in long_texts.items():
+        assert len(text) == 1_000_000
+        for size in (1_000, 30_000, 200_000, 1_000_000):
+            assert known.predict(text[:size])[::2] == (lang, True), (lang, size)
+    for lang, text in long_texts.items():
+        others = Classifier(Model({k: v for k, v in model.dictionaries.items() if k != lang}))
+        assert others.predict(text)[2] is False, lang
+
+
+@pytest.mark.parametrize("words", ["long words ", "the and that with ", "und die der nicht ", "x "])
+def test_repeated_words_keep_the_answer_of_a_short_piece(spark, words):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null")
+    known = Classifier(fit(docs))
+    short, long = known.predict(words * 1000), known.predict(words * 100_000)
+    assert short[::2] == long[::2]
+
+
+def test_blocks_are_the_whole_text():
+    for data in (b"", b"a", b"word " * 20_000, b"x" * 100_000, b"x" * BLOCK_BYTES, ("é" * 9 + " ").encode() * 30_000):
+        parts = blocks(data)
+        assert b"".join(parts) == data
+        assert all(len(p) <= BLOCK_BYTES * 3 // 2 for p in parts)
+        assert all(len(p) >= BLOCK_BYTES for p in parts[:-1])
+
+
+def test_equals_plain_compression(spark):
+    """Sizes from fresh compressors, one language and one block at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit(docs, ~held_out())
+    found = {(r.doc_id, r.lang_pred, r.accepted) for r in op2_langid(spark, SF).collect()}
+
+    def sizes(data, level):
+        out = {}
+        for lang, content in model.dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(
+                level, dict_size=len(content), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            total = 0
+            for part in blocks(data):
+                raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                total += len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(part))
+            out[lang] = total
+        return sorted((n, lang) for lang, n in out.items())
+
+    for r in docs.filter("doc_id % 12 = 0").collect():
+        data = langid.letters(r.text or "").encode()
+        if not any(map(str.isalpha, data.decode())):
+            assert (r.doc_id, "und", False) in found
+            continue
+        clear = lambda s: s[1][0] - s[0][0] >= max(langid.CLOSE * s[0][0], langid.CLOSE_BYTES)
+        got = sizes(data, langid.LEVEL) if len(data) >= langid.SHORT_BYTES else sizes(data, langid.CLOSE_LEVEL)
+        if len(data) >= langid.SHORT_BYTES and not clear(got):
+            got = sizes(data, langid.CLOSE_LEVEL)
+        assert (r.doc_id, got[0][1], clear(got)) in found
