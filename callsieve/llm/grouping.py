@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.workers import bounded_batches
+from callsieve.llm.workers import bounded_batches, give_back
 from callsieve.session import fresh_dir
 
 
@@ -79,6 +79,8 @@ def map_groups(
             out = step(batch, starts_of(batch))
             if out is not None and out.num_rows:
                 yield out
+        held, batch, out = [], None, None
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 

@@ -36,18 +36,18 @@ from pyspark.sql import functions as F
 
 from callsieve.llm.grouping import map_groups, written
 from callsieve.llm.langid import held_out
-from callsieve.llm.workers import bounded_batches, worker_state
+from callsieve.llm.workers import bounded_batches, give_back, worker_state
 
 ORDER = 5
 NEAR = 3
-EDGE_BITS = 21
-WORD_BITS = 19
+EDGE_BITS = 20
+WORD_BITS = 17
 #: Ends a text and stands for what is before it; no UTF-8 text holds it.
 END = 0xFF
 #: Bytes coded at once, and distinct n-grams and words a task holds.
-SLICE = 4 << 20
-HELD_GRAMS = 4_000_000
-HELD_WORDS = 500_000
+SLICE = 1 << 20
+HELD_GRAMS = 1_000_000
+HELD_WORDS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -126,16 +126,13 @@ def _task_grams(texts: DataFrame) -> DataFrame:
                     codes, counts, held = [], [], 0
         if codes:
             yield from out()
+        del codes, counts
+        give_back()
 
     bounded_batches(texts.sparkSession)
     return texts.mapInArrow(count, "code long, n long")
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``code, n`` of all longest n-grams of the one text column."""
-    return _task_grams(texts).groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word, c`` of all tokens but the end marks of the one text column."""
 
@@ -156,6 +153,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield from out()
                     counts.clear()
         yield from out()
+        counts.clear()
+        give_back()
 
     bounded_batches(texts.sparkSession)
     return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -168,21 +167,6 @@ class Trie(NamedTuple):
     counts: list[np.ndarray]
 
 
-def trie(grams: DataFrame, edge_bits: int = EDGE_BITS) -> Trie:
-    """All orders of a small model in one place, pruned by share; :func:`priced` needs neither."""
-    total = grams.agg(F.sum("n").alias("n")).first().n or 0
-    least = max(1, -(-total // 2**edge_bits))
-    codes, counts = [], []
-    for order in range(ORDER + 1):
-        edge = F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        kept = grams.groupBy(edge.alias("code")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        code = kept.column("code").to_numpy().astype(np.uint64)
-        by = np.argsort(code)
-        codes.append(code[by])
-        counts.append(kept.column("n").to_numpy().astype(np.int64)[by])
-    return Trie(codes, counts)
-
-
 class _Order(NamedTuple):
     edges: np.ndarray
     log_count: np.ndarray
@@ -222,10 +206,6 @@ class Ppm:
             size = np.diff(np.append(first, len(code)))
             total = np.add.reduceat(n, first) if len(code) else np.empty(0, np.int64)
             escape = size.astype(np.int64)
-            if order:  # pruned occurrences: what the context was seen more often than its edges
-                at = _find(model.codes[order - 1], names)
-                whole = np.add.reduceat(model.counts[order], first) if len(code) else total
-                escape = escape + 2 * np.where(at >= 0, np.maximum(model.counts[order - 1][at] - whole, 0), 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 if order:
                     shorter = _find(below[0], names & np.uint64((1 << 8 * (order - 1)) - 1))
@@ -280,7 +260,7 @@ class _HashTable:
     """Open addressing, looked up for many keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(len(keys) * 2.5).bit_length())
+        bits = max(4, int(len(keys) * 1.5).bit_length())
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._keys = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
         self._values = np.full(1 << bits, np.nan)
@@ -460,6 +440,8 @@ def score_documents(
                     held, size = [], 0
         if held:
             yield from rows_of(held, table, logs)
+        held = None
+        give_back()
 
     bounded_batches(docs.sparkSession)
     names = facts_type.names

@@ -36,6 +36,17 @@ def worker_state(name: str, key: Any, make: Callable[[], Any]) -> Any:
     return home.state
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: idle workers stay, and their pools would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def map_arrow(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -48,5 +59,7 @@ def map_arrow(
                 out = step(batch)
                 if out is not None and out.num_rows:
                     yield out
+        batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -76,14 +76,6 @@ def test_probabilities_sum_to_one():
         assert (10 ** fast.code_lengths(np.array([base | s for s in range(256)], np.uint64))).sum() == pytest.approx(1)
 
 
-def test_pruned_trie_still_sums_to_one(spark):
-    df = spark.createDataFrame([("the theatre there then " * 30,), ("other words",)], "text string")
-    fast = ppm.Ppm(ppm.trie(ppm.gram_counts(df), edge_bits=7))
-    for context in (b" thea", b"other", b"zzzzz"):
-        base = int.from_bytes(context, "big") << 8
-        assert (10 ** fast.code_lengths(np.array([base | s for s in range(256)], np.uint64))).sum() == pytest.approx(1)
-
-
 def brute_base(rows, train):
     counts = Counter()
     for r, use in zip(rows, train):
