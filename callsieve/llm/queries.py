@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, ppm, quality_bayes, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, ppm, quality_bayes, secret_scan, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -95,6 +95,20 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -106,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_bayes": op9_quality_bayes,
     "op10_ppm": op10_ppm,
+    "op12_secret_scan": op12_secret_scan,
 }
 
 _SQL_WORDS = (
