@@ -100,7 +100,8 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE_RULES]
     base = F.filter("spans", lambda x: x["kind"].isin(kinds))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    of = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
     return found.select(
         "doc_id",
         *counts,
