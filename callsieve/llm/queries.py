@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, html_text, langid, ngram_join, ppm, quality_bayes, secret_scan, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, filter_audit, html_text, langid, ngram_join, ppm, quality_bayes, secret_scan, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -95,6 +95,11 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters, for each source."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_bayes": op9_quality_bayes,
     "op10_ppm": op10_ppm,
+    "op11_filter_audit": op11_filter_audit,
     "op12_secret_scan": op12_secret_scan,
 }
 
@@ -198,4 +204,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
         FROM comp LEFT JOIN n USING (vec_id)
     """,
+    "op11_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), f AS (
+            SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+                coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e,
+                coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+            FROM d LEFT JOIN (
+                SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+            ) USING (doc_id)
+        ), m AS (
+            SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS failed, count(*) AS n,
+                count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM f GROUP BY 1, 2
+        ), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+            WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+        ), r AS (
+            SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS x,
+                list_contains(failed, substr(filter_order, step, 1)) AS fails,
+                len(list_filter(failed, lambda y: instr(filter_order, y) < step)) > 0 AS gone, len(failed) = 1 AS alone, n, good, toxic
+            FROM m, o, range(1, 6) AS g(step)
+        ), s AS (
+            SELECT part, filter_order, step, x,
+                sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+                sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN fails AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+            FROM r GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+        FROM s
+    """,
 }
