@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, filter_audit, html_text, langid, ngram_join, ppm, quality_bayes, secret_scan, token_counts
+from callsieve.llm import arc_warc, bpe, decontaminate, embedding_dedup, filter_audit, html_text, langid, ngram_join, ppm, prefix_trie, quality_bayes, secret_scan, token_counts
 from callsieve.session import configure, fresh_dir
 
 
@@ -115,6 +115,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of the conversations, with shared openings."""
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ppm": op10_ppm,
     "op11_filter_audit": op11_filter_audit,
     "op12_secret_scan": op12_secret_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _SQL_WORDS = (
@@ -243,4 +249,44 @@ ORACLE_SQL: dict[str, str] = {
             (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
         FROM s
     """,
+    "op13_prefix_trie": """
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce(
+                range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+        ), t AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS pos
+            FROM (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+        ), ids AS (
+            SELECT c, c - c % 100 AS b, xor(list_reduce(
+                list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 6 AS h
+            FROM (SELECT DISTINCT c FROM t), crc
+        ), base AS (SELECT c AS b, count(*) AS n FROM t GROUP BY 1),
+        r AS (
+            SELECT ids.c, pos AS d, role, text FROM ids JOIN t ON t.c = b AND pos <= h
+            UNION ALL
+            SELECT c, pos - h + least(h, coalesce(n, 0)), role, text FROM ids JOIN t USING (c) LEFT JOIN base USING (b) WHERE pos > h
+        ), s AS (
+            SELECT c, coalesce(turns, []) AS turns FROM ids LEFT JOIN (
+                SELECT c, list({'role': role, 'text': text} ORDER BY d) AS turns FROM r GROUP BY 1
+            ) USING (c)
+        ), p AS (
+            SELECT c, d, sha256(to_json(turns[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(to_json(turns[1:d - 1])::VARCHAR) END AS up,
+                CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars, len(turns) = d AS ended
+            FROM s, range(0, len(turns) + 1) AS g(d)
+        ), n AS (
+            SELECT k, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended) AS ends
+            FROM p GROUP BY 1
+        ), kids AS (SELECT up AS k, count(*) AS n_children FROM n GROUP BY 1),
+        m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+        sums AS (
+            SELECT p.k, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens
+            FROM m JOIN p ON p.c = m.conv_id AND p.d <= m.depth GROUP BY 1
+        )
+        SELECT m.conv_id, m.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children, n_leaves,
+            saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+        FROM m JOIN sums USING (k) LEFT JOIN n o ON o.k = m.up
+    """,
 }
