@@ -32,7 +32,7 @@ from callsieve.operators.ordering import ranges, with_starts
 BLOCK = 1024
 #: Conversations that a shard may hold: this many, or this share of all prefixes if that is more.
 #: At most that many nodes are above the shards.
-SHARD, UPPER = 20_000, 50_000
+SHARD, UPPER = 64, 50_000
 #: Parts that the rows of one conversation are dealt to where lengths are joined.
 SALTS = 32
 #: Fixed values of the shared openings: conversations to an opening, most turns of it.
