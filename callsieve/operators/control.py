@@ -14,7 +14,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.functions.staging import evaluate_once
@@ -71,6 +71,28 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1) / (df + 1)) + 1
 
 
+def tfidf_weights(
+    texts: DataFrame, train: DataFrame, key: str, text: str = "text", min_df: int = 2, max_features: int = 20_000
+) -> DataFrame:
+    """``key, term, weight`` of all texts: TF-IDF under ``train``, each text's weights of length 1.
+
+    Sparse rows: a text without a known term has none. ``key`` must be unique. Vocabulary and
+    idf are at most ``max_features`` rows and are broadcast; occurrences are counted within the
+    task that reads a text before anything is shuffled, and a text's terms meet once, for its length.
+    """
+    n_docs = train.count()
+    idf = vocabulary(term_counts(train, text), min_df, max_features).select("term", smooth_idf(F.lit(n_docs), F.col("df")).alias("_idf"))
+    counted = (
+        evaluate_once(texts.select(key, text), _terms=terms(F.col(text)))
+        .select(key, F.explode("_terms").alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count(F.lit(1)).alias("_tf"))
+    )
+    weighed = counted.join(F.broadcast(idf), "term").select(key, "term", (F.col("_tf") * F.col("_idf")).alias("_w"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighed.select(key, "term", (F.col("_w") / length).alias("weight"))
+
+
 def tfidf_stages(train: DataFrame, text: str, min_df: int, max_features: int) -> list:
     """Feature stages fitted on ``train``.
 

@@ -14,6 +14,8 @@ from callsieve.functions.verdict import (
     unsupported_span,
     with_verdict,
 )
+from callsieve.operators.ordering import join_null_safe
+from callsieve.operators.percentiles import exact_percentiles
 from callsieve.schemas import RISKS, PromotionPolicy, ResponsibleAIPolicy
 
 
@@ -111,6 +113,16 @@ def rai_checks(
     return _with_checks(metrics, [_check(n, op, t, F.col(n)) for n, op, t in limits])
 
 
+def operational_metrics(requests: DataFrame, key: str = "candidate") -> DataFrame:
+    """``key, p95_latency_ms, error_rate`` of served requests (``latency_ms``, ``status``).
+
+    Server errors are statuses from 500 on. The percentile comes from counts by value.
+    """
+    slow = exact_percentiles(requests, [key], "latency_ms", {"p95_latency_ms": 0.95})
+    failed = requests.groupBy(key).agg((F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("error_rate"))
+    return join_null_safe(failed, slow, [key], "left").select(key, "p95_latency_ms", "error_rate")
+
+
 def promotion_evidence(
     candidates: DataFrame,
     metrics: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsieve.functions.numeric import safe_ratio
+from callsieve.operators.ordering import join_null_safe, ranges
 
 # --- fixed values ---------------------------------------------------------
 # Upper bounds in seconds of the latency buckets, and table percentiles.
@@ -46,34 +47,60 @@ def _panes(requests: DataFrame, keys: Sequence[str], aggs: list[Column], step: i
     return requests.groupBy(*keys, pane.alias("_pane")).agg(*aggs)
 
 
-def _slide(panes: DataFrame, length: int, step: int) -> DataFrame:
-    """One row per evaluation time ``t`` (epoch seconds) a pane counts for.
+def _sliding(panes: DataFrame, keys: Sequence[str], names: Sequence[str], length: int, step: int) -> DataFrame:
+    """Sums of ``names`` at each evaluation time ``t`` (epoch seconds) that a pane counts for.
 
     A pane that begins at ``p`` lies in the range ``(t - length, t]`` for
-    ``t = p + step, p + 2 step, ..., p + length``.
+    ``t = p + step, p + 2 step, ..., p + length``: it is added at the first of these times and
+    taken off after the last one. Running sums of the changes, over sampled ranges of
+    time, are the values; between two changes they stay, which is when rows are repeated.
+    A pane is two rows of a shuffle, however long the range is.
     """
-    times = F.sequence(F.col("_pane") + step, F.col("_pane") + length, F.lit(step))
-    return panes.withColumn("t", F.explode(times))
+    keys = list(keys)
+    row = lambda t, sign: F.struct(t.alias("t"), F.lit(sign).alias("_sign"))
+    ends = F.array(row(F.col("_pane") + step, 1), row(F.col("_pane") + length + step, -1))
+    changes = (
+        panes.withColumn("_end", F.explode(ends))
+        .groupBy(*keys, F.col("_end.t").alias("t"))
+        .agg(*[F.sum(F.col(n) * F.col("_end._sign")).alias(n) for n in names], F.sum("_end._sign").alias("_live"))
+    )
+    summed = [*names, "_live"]
+    cut = ranges(changes, keys, "t")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        cut.groupBy(*keys, "_part")
+        .agg(F.min("t").alias("_t0"), *[F.sum(n).alias(f"_{n}") for n in summed])
+        .withColumns(
+            {
+                **{f"_{n}": F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)) for n in summed},
+                "_t0": F.lead("_t0").over(Window.partitionBy(*keys).orderBy("_part")),
+            }
+        )
+    )
+    within = Window.partitionBy(*keys, "_part").orderBy("t")
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = join_null_safe(cut, parts, [*keys, "_part"]).withColumns(
+        {
+            **{n: F.col(f"_{n}") + F.sum(n).over(upto) for n in summed},
+            "_until": F.coalesce(F.lead("t").over(within), "_t0"),
+        }
+    )
+    times = F.sequence(F.col("t"), F.col("_until") - step, F.lit(step))
+    return running.filter("_live > 0").select(*keys, F.explode(times).alias("t"), *names)
 
 
 def request_rate(requests: DataFrame, range_seconds: int = 60, step_seconds: int = 5) -> DataFrame:
     """Requests per second by status over a sliding range."""
     panes = _panes(requests, ["status"], [F.count(F.lit(1)).alias("n")], step_seconds)
-    return (
-        _slide(panes, range_seconds, step_seconds)
-        .groupBy("status", "t")
-        .agg((F.sum("n") / range_seconds).alias("rate"))
-    )
+    slid = _sliding(panes, ["status"], ["n"], range_seconds, step_seconds)
+    return slid.select("status", "t", (F.col("n") / range_seconds).alias("rate"))
 
 
 def invalid_rate(attempts: DataFrame, range_seconds: int = 300, step_seconds: int = 5) -> DataFrame:
     """Invalid outputs per second over a sliding range (boolean ``invalid``)."""
-    panes = _panes(attempts, [], [F.count_if("invalid").alias("n")], step_seconds)
-    return (
-        _slide(panes, range_seconds, step_seconds)
-        .groupBy("t")
-        .agg((F.sum("n") / range_seconds).alias("rate"))
-    )
+    panes = _panes(attempts, [], [F.count_if("invalid").alias("n")], step_seconds).withColumn("_one", F.lit(1))
+    slid = _sliding(panes, ["_one"], ["n"], range_seconds, step_seconds)
+    return slid.select("t", (F.col("n") / range_seconds).alias("rate"))
 
 
 def bucket_quantile(counts: Column, q: float) -> Column:
@@ -101,12 +128,8 @@ def latency_quantile(
         requests, ["endpoint"], _bucket_counts(F.col("latency_ms") / 1000), step_seconds
     )
     names = [f"_le{i}" for i in range(len(LATENCY_BOUNDS))]
-    return (
-        _slide(panes, range_seconds, step_seconds)
-        .groupBy("endpoint", "t")
-        .agg(*[F.sum(c).alias(c) for c in names])
-        .select("endpoint", "t", bucket_quantile(_bucket_array(), q).alias("latency_seconds"))
-    )
+    slid = _sliding(panes, ["endpoint"], names, range_seconds, step_seconds)
+    return slid.select("endpoint", "t", bucket_quantile(_bucket_array(), q).alias("latency_seconds"))
 
 
 def rounded_latency(ms: Column) -> Column:

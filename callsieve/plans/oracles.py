@@ -665,3 +665,21 @@ ORACLE_SQL["corpus_from_files"] = ORACLE_SQL["corpus_union"]
 ORACLE_SQL["feature_store"] = ORACLE_SQL["feature_upsert"]
 ORACLE_SQL["stream_resume"] = ORACLE_SQL["stream_stats"]
 ORACLE_SQL["predictions_roundtrip"] = "SELECT doc_id AS row_idx, lang, sha256(text) AS raw_sha FROM documents"
+ORACLE_SQL["predictions_in_order"] = """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, sha256(text) AS raw_sha FROM documents"""
+ORACLE_SQL["operational_metrics"] = """
+SELECT lang AS candidate, round(quantile_cont(value, 0.95), 9) AS p95_latency_ms,
+  round(count(*) FILTER (event_type = 'error' AND event_id % 2 = 0)::DOUBLE / count(*), 9) AS error_rate
+FROM events JOIN documents ON event_id = doc_id GROUP BY lang"""
+ORACLE_SQL["tfidf_weights"] = f"""
+WITH {_TERMS}, v AS (
+  SELECT term, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM allterms GROUP BY term
+  HAVING count(DISTINCT doc_id) >= 2 ORDER BY count(*) DESC, term LIMIT 20000),
+w AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM allterms JOIN v USING (term) GROUP BY doc_id, term)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w"""
+ORACLE_SQL["stream_growing_file"] = f"""
+WITH {EVENTS}, placed AS (
+  SELECT *, row_number() OVER (ORDER BY source_offset % 3, source_offset, stream_partition) - 1 AS line FROM ev),
+kept AS (SELECT * FROM placed WHERE error_code IS NULL QUALIFY row_number() OVER (PARTITION BY eid ORDER BY line) = 1)
+SELECT eid AS event_id, line AS source_offset, {_EPOCH} AS occurred_at, {_fp('txt')} AS transcript_hash, length(txt)::INTEGER AS char_count
+FROM kept"""

@@ -22,7 +22,7 @@ from callsieve.operators import (
 from callsieve.operators.dedup import keep_first
 from callsieve.plans import inputs as I
 from callsieve.schemas import DriftPolicy, RegressionFloors
-from callsieve.session import configure, fresh_dir
+from callsieve.session import configure, fresh_dir, publish_file
 from callsieve.sources import corpora, sinks
 from callsieve.sources.files import load_predictions, read_features, read_json_lines, stream_table
 from callsieve.streaming import ingest, monitor
@@ -184,6 +184,20 @@ def predictions_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("row_idx", "lang", F.sha2("raw", 256).alias("raw_sha"))
 
 
+def predictions_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs matched to rows by the order of lines alone, read with other file splits than were in force when it was asked for."""
+    path = fresh_dir(spark, "ordered") + ".jsonl"
+    rows = I.documents(spark, sf).select("doc_id", F.to_json(F.struct(F.col("text").alias("prediction"))).alias("value"))
+    rows.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        back = load_predictions(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    return back.select("row_idx", F.sha2("raw", 256).alias("raw_sha"))
+
+
 def call_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     v = verdict.call_verdict(F.col("is_scam"), F.col("call_type"))
     rows = I.typed_calls(spark, sf).select("call_type", "is_scam", v.alias("v"))
@@ -431,6 +445,16 @@ def rai_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _operational(spark: SparkSession, sf: str) -> DataFrame:
+    d = I.documents(spark, sf).select("doc_id", F.col("lang").alias("candidate"))
+    return release.operational_metrics(I.requests(spark, sf).join(d, F.col("request_id") == F.col("doc_id")))
+
+
+def operational_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency percentile and error rate of the requests that served each language."""
+    return _operational(spark, sf).select("candidate", _r("p95_latency_ms").alias("p95_latency_ms"), _r("error_rate").alias("error_rate"))
+
+
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Languages are candidates, and so are roles, which have no evidence.
 
@@ -442,15 +466,7 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     d = I.documents(spark, sf)
     roles = I.table(spark, sf, "conversations").select(F.col("role").alias("candidate"))
     candidates = d.select(F.col("lang").alias("candidate")).unionByName(roles).distinct()
-    operational = (
-        I.requests(spark, sf).join(d.select("doc_id", "lang"), F.col("request_id") == F.col("doc_id"))
-        .groupBy(F.col("lang").alias("candidate"))
-        .agg(
-            F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
-            (F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("error_rate"),
-        )
-    )
-    evidence = release.promotion_evidence(candidates, llm, operational, _rai(spark, sf))
+    evidence = release.promotion_evidence(candidates, llm, _operational(spark, sf), _rai(spark, sf))
     return release.promotion_decision(evidence).select(
         "candidate", "decision", "passed",
         F.array_join("failed_checks", ",").alias("failed_checks"),
@@ -585,6 +601,25 @@ def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.stream_statistics(spark, store)
 
 
+def stream_growing_file(spark: SparkSession, sf: str) -> DataFrame:
+    """One append-only file of all records, handled after each of three appends."""
+    configure(spark)
+    store = ingest.StreamStore(fresh_dir(spark, "stream"))
+    path = fresh_dir(spark, "growing") + ".jsonl"
+    line = F.regexp_replace("payload", "[\r\n]", " ")
+    records = I.call_records(spark, sf).select("stream_partition", "source_offset", line.alias("line"))
+    records = records.withColumn("third", F.pmod(F.col("source_offset"), F.lit(3)))
+    for k in range(3):
+        grown = fresh_dir(spark, "grown")
+        upto = records.filter(F.col("third") <= k).coalesce(1).sortWithinPartitions("third", "source_offset", "stream_partition")
+        upto.select("line").write.text(grown)
+        publish_file(spark, grown, path)
+        ingest.process_jsonl(spark, path, store, "calls")
+    return ingest.curated_events(spark, store).select(
+        "event_id", "source_offset", F.unix_seconds("occurred_at").alias("occurred_at"), "transcript_hash", "char_count"
+    )
+
+
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Drift status after the event stream has been folded into the tails."""
     configure(spark)
@@ -616,6 +651,12 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse document vectors of all documents."""
+    d = I.documents(spark, sf)
+    return control.tfidf_weights(d, d, "doc_id").select("doc_id", "term", _r("weight").alias("weight"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -628,7 +669,7 @@ QUERIES: dict[str, Query] = {
         domain_comparison, rai_checks, promotion_gate, retry_resolution, drift_rolling,
         drift_rolling_short, drift_status, request_counts, latency_histogram, request_rate, invalid_rate,
         latency_p95, latency_table, live_rates, event_contract, stream_curated,
-        stream_dead_letter, stream_stats, stream_resume, stream_drift, tfidf_terms, corpus_from_files,
-        predictions_roundtrip, feature_store,
+        stream_dead_letter, stream_stats, stream_resume, stream_growing_file, stream_drift, tfidf_terms, corpus_from_files,
+        predictions_roundtrip, feature_store, predictions_in_order, operational_metrics, tfidf_weights,
     )
 }

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -50,9 +52,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+#: Folders named within each open :func:`scratch`, the innermost last.
+_named: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused sub-folder of :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused sub-folder of :func:`shared_dir`; within :func:`scratch` it lasts as long as that."""
+    path = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _named:
+        _named[-1].append(path)
+    return path
+
+
+def publish_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Put the one file that a job wrote to ``folder`` in the place of ``path``."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(conf)
+    (part,) = [f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")]
+    files.delete(target, False)
+    files.rename(part, target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, in whatever store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what :func:`fresh_dir` has named inside.
+
+    For code that writes its result before it leaves: frames that were made inside
+    may read those folders, so they are of no use afterwards.
+    """
+    _named.append([])
+    try:
+        yield
+    finally:
+        for path in _named.pop():
+            remove_path(spark, path)
 
 
 def local_session(cores: int | None = None, partitions: int = 8) -> SparkSession:

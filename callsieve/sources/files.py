@@ -19,10 +19,12 @@ def indexed_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> Da
     """``(file, row_idx, value)``: every line with its position among all files.
 
     Files count in the order of their paths, so the position is unique over a
-    folder. Large files are read in blocks by many tasks; a small table with the
-    first position of each block, written once, is joined to the lines, which
-    stay where they are while that table is below Spark's broadcast threshold.
-    A compressed file cannot be cut and is one block.
+    folder. Large files are read in blocks by many tasks. Where Spark cuts them depends on
+    settings and on how many cores there are at the time, so the lines are written once,
+    with the block that they were read in and their number; positions come from that
+    table alone and hold however it is read later. A small table has the first position of
+    each block, and lines stay where they are while it is below Spark's broadcast
+    threshold. A compressed file cannot be cut and is one block.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value"
@@ -30,7 +32,7 @@ def indexed_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> Da
     if skip_blank:
         lines = lines.filter(~is_blank(F.col("value")))
     # Numbers within a task follow the order of reading and have no gaps.
-    lines = lines.withColumn("_seq", F.monotonically_increasing_id())
+    lines = _stored(lines.withColumn("_seq", F.monotonically_increasing_id()), "lines")
     upto = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = (
         lines.groupBy("file", "_block")
@@ -38,14 +40,17 @@ def indexed_lines(spark: SparkSession, path: str, skip_blank: bool = True) -> Da
         .withColumn("_start", F.sum("_n").over(upto) - F.col("_n"))
         .drop("_n")
     )
-    where = fresh_dir(spark, "blocks")
-    starts.write.parquet(where)
-    placed = spark.read.schema(starts.schema).parquet(where)
-    return lines.join(placed, ["file", "_block"]).select(
+    return lines.join(_stored(starts, "blocks"), ["file", "_block"]).select(
         "file", (F.col("_start") + F.col("_seq") - F.col("_first")).alias("row_idx"), "value"
     )
 
 
+def _stored(df: DataFrame, purpose: str) -> DataFrame:
+    where = fresh_dir(df.sparkSession, purpose)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Records with ``row_idx``; a malformed line fails the job.
 

@@ -27,8 +27,9 @@ from callsieve.functions.contract import with_event
 from callsieve.functions.staging import evaluate_once
 from callsieve.functions.text import payload_hash, text_features, text_hash
 from callsieve.schemas import STREAM_RECORD
-from callsieve.session import path_exists
+from callsieve.session import path_exists, scratch
 from callsieve.sources.files import indexed_lines
+from callsieve.sources.tail import Bookmark, tail_lines
 
 LEDGER_SCHEMA = (
     "stream_partition string, source_offset long, event_id string, occurred_at timestamp, "
@@ -63,6 +64,10 @@ class StreamStore:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
+    @property
+    def bookmarks(self) -> str:
+        return f"{self.root}/bookmarks"
+
     @property
     def drops(self) -> str:
         return f"{self.root}/drops"
@@ -307,6 +312,14 @@ def run_ingestion(records: DataFrame, store: StreamStore) -> None:
     start_ingestion(records, store).awaitTermination()
 
 
+def _bookmark(spark: SparkSession, store: StreamStore, name: str) -> Bookmark | None:
+    """The byte that a number of lines of a partition ends at, if it has been noted."""
+    noted = f"{store.bookmarks}/{name}"
+    if not path_exists(spark, f"{noted}/_SUCCESS"):
+        return None
+    return Bookmark(*spark.read.schema("lines long, byte long").json(noted).first())
+
+
 def land_jsonl(
     spark: SparkSession, path: str, store: StreamStore, stream_partition: str
 ) -> None:
@@ -315,7 +328,9 @@ def land_jsonl(
     The drop is a folder named by partition and first offset. Lines below the
     committed offset are not landed again, and a drop that is there is left
     alone: the stream may have listed its files. Blank lines are records too and
-    keep their offset.
+    keep their offset. Each drop notes the byte that its lines end at; the next one reads
+    from there on. Without such a note, or where tasks cannot open the file by themselves,
+    all lines are read and those before the offset left out, with the same result.
     """
     found = (
         stream_statistics(spark, store)
@@ -324,17 +339,28 @@ def land_jsonl(
         .first()
     )
     start = (found["next_offset"] or 0) if found else 0
-    target = f"{store.drops}/{quote(stream_partition, safe='')}-{start:020d}"
+    partition = quote(stream_partition, safe="")
+    target = f"{store.drops}/{partition}-{start:020d}"
     if path_exists(spark, f"{target}/_SUCCESS"):
         return
-    lines = indexed_lines(spark, path, skip_blank=False).filter(F.col("row_idx") >= start)
-    if lines.isEmpty():
-        return
-    lines.select(
-        F.lit(stream_partition).alias("stream_partition"),
-        F.col("row_idx").alias("source_offset"),
-        F.col("value").alias("payload"),
-    ).write.mode("overwrite").parquet(target)
+    with scratch(spark):
+        since = Bookmark(0, 0) if start == 0 else _bookmark(spark, store, f"{partition}-{start:020d}")
+        tail = tail_lines(spark, path, since) if since else None
+        if tail:
+            lines, reached = tail
+        else:
+            lines, reached = indexed_lines(spark, path, skip_blank=False).filter(F.col("row_idx") >= start), None
+        if lines.isEmpty():
+            return
+        lines.select(
+            F.lit(stream_partition).alias("stream_partition"),
+            F.col("row_idx").alias("source_offset"),
+            F.col("value").alias("payload"),
+        ).write.mode("overwrite").parquet(target)
+    if reached is not None:
+        end = start + spark.read.schema(STREAM_RECORD).parquet(target).count()
+        note = spark.createDataFrame([(end, reached)], "lines long, byte long").coalesce(1)
+        note.write.mode("overwrite").json(f"{store.bookmarks}/{partition}-{end:020d}")
 
 
 def process_jsonl(

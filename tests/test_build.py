@@ -7,6 +7,7 @@ from callsieve.operators import evaluate, features
 from callsieve.plans.build import build_dataset, materialize_features
 from callsieve.plans.evaluation import analyse, decide, evaluate_models, score_domain
 from callsieve.schemas import MANIFEST_DOC, RAI_CASE, QualityPolicy
+from callsieve.session import fresh_dir, path_exists, scratch
 from callsieve.sources import corpora, sinks
 from callsieve.sources.files import (
     indexed_lines,
@@ -134,6 +135,34 @@ def test_line_numbers_hold_across_blocks(spark, tmp_path, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_lines_are_all_there_under_other_splits(spark, tmp_path, folder):
+    """Splits in force when a reader is called and when its rows are used may differ."""
+    (tmp_path / "p.txt").write_text("".join(f"line {i}\n" for i in range(20000)))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for then, later in (("16384", "4096"), ("4096", "100000"), (usual, "1000")):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", then)
+            df = load_predictions(spark, f"{folder}/p.txt")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+            assert df.count() == 20000
+            assert df.filter(F.col("raw") != F.concat(F.lit("line "), F.col("row_idx").cast("string"))).count() == 0
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
+def test_scratch_folders_go(spark):
+    with scratch(spark):
+        first = fresh_dir(spark, "one")
+        spark.range(3).write.parquet(first)
+        with scratch(spark):
+            inner = fresh_dir(spark, "two")
+            spark.range(3).write.parquet(inner)
+        assert path_exists(spark, first) and not path_exists(spark, inner)
+    kept = fresh_dir(spark, "three")
+    spark.range(3).write.parquet(kept)
+    assert not path_exists(spark, first) and path_exists(spark, kept)
+
+
 def test_manifest_document(spark, tmp_path, folder):
     (tmp_path / "manifest.json").write_text(json.dumps(
         {"dataset": "d", "config_snapshot": {"test_size": 0.15}, "splits": {"test": {"n": 2, "fraud_ratio": 0.5}}}, indent=2))
