@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.grouping import block_pairs, components, forest, map_groups, written
+from callsieve.llm.grouping import block_pairs, components, forest, join_groups, map_groups, written
 from callsieve.llm.workers import map_arrow
 
 THRESHOLD = 0.98
@@ -219,18 +219,17 @@ def near_duplicates(
     )
     links = found.filter("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     reach = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = reach.join(classes.select("key", "first_id"), reach["node"] == F.col("key")).select("key", "component", "first_id")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = written(reach.join(classes.select("key", "first_id"), reach["node"] == F.col("key")).select("key", "component", "first_id"), "named")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     known = (
         classes.select("key", "first_id", "copies")
-        .join(named.select("key", "component").join(least, "component"), "key", "left")
+        .join(join_groups(named.select("key", "component"), written(least, "least"), "component", "members"), "key", "left")
         .join(links, "key", "left")
         .select("key", "first_id", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     )
     component = F.coalesce("component_id", "first_id", "id")
     return (
-        keyed.select("id", "key")
-        .join(known, "key", "left")
+        join_groups(keyed.select("id", "key"), written(known, "known"), "key", "copies")
         .select(
             F.col("id").alias(id_col),
             F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"),

@@ -14,13 +14,34 @@ from callsieve.llm.workers import bounded_batches, give_back
 from callsieve.session import fresh_dir
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: a lost executor costs no more than a reread."""
-    path = fresh_dir(df.sparkSession, purpose)
+    path = path or fresh_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A group with more than this share of all grouped rows is hot; there are fewer than that many.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of the one row that ``groups`` has for their ``key``, NULL where there is none.
+
+    ``size`` counts, by group, the rows that have its key. Groups of a thousandth of them or
+    more, at most a thousand, are broadcast and rows without a key are not joined at all, so no
+    task gets more than its share. ``groups`` should be a written table: it is read three times.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first().n or 0
+    hot = F.col(size) * HOT_SHARE >= total
+    names = [c for c in groups.columns if c != key]
+    marked = rows.join(F.broadcast(groups.filter(hot).withColumn("_hot", F.lit(True))), key, "left")
+    settled = F.col(key).isNull() | F.col("_hot").isNotNull()
+    cold = marked.filter(~settled).drop("_hot", *names).join(groups.filter(~hot), key, "left")
+    columns = [*rows.columns, *names]
+    return marked.filter(settled).select(*columns).union(cold.select(*columns))
+
+
 def block_pairs(df: DataFrame, member: Column, blocks: Column) -> DataFrame:
     """Repeat each row for every pair of blocks that its block is in.
 

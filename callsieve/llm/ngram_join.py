@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsieve.llm.grouping import block_pairs, components, forest, map_groups, written
+from callsieve.llm.grouping import block_pairs, components, forest, join_groups, map_groups, written
 from callsieve.llm.workers import map_arrow, worker_state
 
 WORDS = 5
@@ -311,27 +311,29 @@ def similar_documents(
         .agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
         .select(
             "component",
+            "members",
             F.greatest(F.ceil(F.col("members") / CLUSTER_BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks"),
         )
     )
     members = (
-        clusters.join(sizes, "component")
-        .join(classes, clusters["node"] == classes["key"])
+        join_groups(clusters, written(sizes, "sizes"), "component", "members")
+        .join(classes, F.col("node") == F.col("key"))
         .select("key", F.col("component").alias("cluster"), "first_id", "sig", "copies", "blocks")
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     verified = written(_verified(texts, written(members, "members"), words, threshold, tolerance), "verified")
     links = verified.filter("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     reach = components(verified.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = reach.join(classes.select("key", "first_id"), reach["node"] == F.col("key")).select("key", "component", "first_id")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = written(reach.join(classes.select("key", "first_id"), reach["node"] == F.col("key")).select("key", "component", "first_id"), "named")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
     found = (
         classes.select("key", "first_id", "copies")
-        .join(named.select("key", "component").join(least, "component"), "key", "left")
+        .join(join_groups(named.select("key", "component"), written(least, "least"), "component", "members"), "key", "left")
         .join(links, "key", "left")
         .select("key", "first_id", "copies", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    placed = sketch.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(found, "key", "left")
+    keyed = sketch.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
+    placed = join_groups(keyed, written(found, "found"), "key", "copies")
     component = F.coalesce("component_id", "first_id", "id")
     return placed.select(
         F.col("id").alias(id_col),

@@ -40,8 +40,8 @@ from callsieve.llm.workers import bounded_batches, give_back, worker_state
 
 ORDER = 5
 NEAR = 3
-EDGE_BITS = 20
-WORD_BITS = 17
+EDGE_BITS = 21
+WORD_BITS = 18
 #: Ends a text and stands for what is before it; no UTF-8 text holds it.
 END = 0xFF
 #: Bytes coded at once, and distinct n-grams and words a task holds.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callsieve.llm import bpe, decontaminate, langid, ngram_join, quality_bayes
 from callsieve.llm.grouping import written
-from callsieve.session import configure
+from callsieve.session import configure, fresh_dir, remove_path, scratch
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read by the next."""
-    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written as Parquet and read by the next.
+
+    What a stage has written on its way goes when its result is there, and that goes when the
+    next stage has ended: never more than two copies of the corpus are in the shared folder.
+    """
+    docs, path = configure(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, path = path, fresh_dir(spark, "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove_path(spark, before)
     return docs
