@@ -2,13 +2,16 @@
 
 1. The page goes through the standard library's event parser in pieces. Events
    become lines: the text between two starts or ends of block elements, with
-   the tags seen in it and the containers around it. Lines inside elements
-   that never hold the article (menus, forms, scripts, ...) are not made.
-2. Each line has a text-to-tag ratio. The ratios are smoothed with a Gaussian
+   the tags seen in it, the containers around it, and the parts of a page (menus,
+   forms, asides, elements named like adverts or comments) that it is in.
+2. Each line has a text-to-tag ratio. The ratios of all lines are smoothed with a Gaussian
    and split in two clusters by threshold; the upper one marks the content.
-3. The region is the innermost container that holds the content lines (of
-   ``article`` and ``main`` elements if there are any). All its lines are kept:
-   a short paragraph between long ones, or a heading, is part of the article.
+3. Clusters choose, elements bound. A part does not count as the article, unless it holds
+   long text and far more content than all the rest: then it was named or nested wrongly. The
+   region is the ``article`` and ``main`` elements that share most of the content, or
+   else the innermost container that holds it; long clusters outside belong to it too.
+   All lines of the region are kept: a short paragraph between long ones, or a heading,
+   is part of the article.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("html body main article section div td center blockquote".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are no part of an article.
-APART = frozenset(
-    "head script style noscript template svg math canvas object iframe audio video map nav header footer aside form "
-    "button select textarea label fieldset dialog menu search".split()
+#: Elements whose text is never read, and those that are parts of a page beside its article.
+UNREAD = frozenset(
+    "head script style noscript template svg math canvas object iframe audio video map button select textarea label".split()
 )
+APART = frozenset("nav header footer aside form fieldset dialog menu search".split())
 ROLE_APART = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split()
 )
@@ -49,29 +52,58 @@ NAME_APART = frozenset(
     "signup login signin pagination pager toolbar widget widgets copyright disclaimer skip alert outbrain taboola".split()
 )
 COMMENT_APART = frozenset("comment comments disqus respond replies reply".split())
+#: Words that say nothing of their own in a name; a name with any other word ("share-price") is no such part.
+NEUTRAL = frozenset(
+    "a the of user users site page post main top bottom left right box block wrap wrapper container section area bar inner outer "
+    "list item items content text link links title body group panel module unit slot icon icons button buttons btn form js".split()
+)
 #: Beside such words the others tell of the page around the element ("has-sidebar").
 NOT_APART = frozenset("has with no without free".split())
+#: Elements of text: their ``id`` is an anchor, not a name.
+TEXT_BLOCK = frozenset("p li dd dt blockquote pre h1 h2 h3 h4 h5 h6 td th tr caption figcaption".split())
 SIGMA = 1.0
-SHARE = 0.9
+#: Of all content: what a container must hold, what ``article`` elements must hold together.
+SHARE, MOST = 0.9, 0.5
+#: Of the largest article's content: what another article, or a cluster outside, must have to belong to it.
+LIKE = 0.2
+#: Characters of content from which a cluster is long; how many times the rest a part must have to count after all.
+LONG_TEXT, OUTVOTES = 500, 2.0
+#: Clusters are two if the mean ratios are apart by this factor.
+APART_BY = np.log(4)
 PIECE = 1 << 16
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "apart", "depth", "in_article", "number", "mass", "inside")
+    """An open element; ``parts`` are the parts of the page that it is in, the outermost first."""
+
+    __slots__ = ("tag", "parent", "unread", "parts", "depth", "in_article", "number", "mass", "inside")
 
-    def __init__(self, tag: str, parent: "_Node | None", apart: bool, number: int = 0):
-        self.tag, self.parent, self.apart, self.number = tag, parent, apart, number
+    def __init__(self, tag: str, parent: "_Node | None", kind: str | None = None, number: int = 0):
+        self.tag, self.parent, self.number = tag, parent, number
+        self.unread = kind == "unread" or (parent is not None and parent.unread)
+        self.parts: tuple[_Node, ...] = parent.parts if parent else ()
+        if kind == "part" and len(self.parts) < 8:
+            self.parts += (self,)
         self.depth = parent.depth + 1 if parent else 0
         self.in_article = tag == "article" or (parent is not None and parent.in_article)
         self.mass = 0
         self.inside: bool | None = None
 
+    @property
+    def apart(self) -> bool:
+        return self.unread or bool(self.parts)
+
 
 class _Line:
-    __slots__ = ("text", "tags", "node", "heading")
+    __slots__ = ("text", "tags", "node", "parts", "heading")
+
+    def __init__(self, text: str, tags: int, node: _Node, parts: tuple[_Node, ...], heading: bool):
+        self.text, self.tags, self.node, self.parts, self.heading = text, tags, node, parts, heading
+
 
-    def __init__(self, text: str, tags: int, node: _Node, heading: bool):
-        self.text, self.tags, self.node, self.heading = text, tags, node, heading
+def _words_of(name: str) -> set[str]:
+    """The words of one class or id: at hyphens, underscores, digits and capitals."""
+    return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
 
 
 class PageLines(HTMLParser):
@@ -81,44 +113,47 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self._nodes = 0
-        self._open = _Node("#", None, False)
+        self._open = _Node("#", None)
         self._text: list[str] = []
         self._tags = 1
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         self._text.clear()
-        if text and not self._open.apart:
+        if text and not self._open.unread:
             heading = False
             at: _Node | None = self._open
-            while at is not None and at.tag not in CONTAINER:
+            while at is not None and at.tag not in CONTAINER and at.tag not in APART:
                 heading = heading or at.tag == "h1"
                 at = at.parent
-            self.lines.append(_Line(text, self._tags, at or self._open, heading))
+            self.lines.append(_Line(text, self._tags, at or self._open, self._open.parts, heading))
         self._tags = 1
 
-    def _is_apart(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def _kind(self, tag: str, attrs: dict[str, str | None]) -> str | None:
+        """Whether an element is not read, a part beside the article, or neither."""
         if tag in ("html", "body", "main"):
-            return False
+            return None
         in_article = self._open.in_article
-        if tag == "header" and in_article:
-            return False  # of the article itself; its headings belong to it
-        if tag in APART:
-            return True
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
+        if tag in UNREAD or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+            return "unread"
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-            return True
-        if (attrs.get("role") or "").lower() in ROLE_APART:
-            return True
-        names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
-        if tag == "article" and not in_article:
-            return bool(names & COMMENT_APART)
-        if names & NOT_APART:
-            return False
-        if tag in HEADING or tag in ("td", "tr", "th"):
-            names -= {"header", "footer"}
-        return bool(names & NAME_APART)
+            return "unread"
+        part = "part" if tag in BLOCK else "unread"  # within a line it has no line of its own
+        if tag == "header" and in_article:
+            return None  # of the article itself; its headings belong to it
+        if tag in APART or (attrs.get("role") or "").lower() in ROLE_APART:
+            return part
+        names = (attrs.get("class") or "").split()
+        if tag not in TEXT_BLOCK:
+            names += (attrs.get("id") or "").split()
+        for words in map(_words_of, names):
+            if words & NOT_APART or (tag == "article" and not in_article and not words & COMMENT_APART):
+                continue
+            if tag in HEADING or tag in ("td", "tr", "th"):
+                words -= {"header", "footer"}
+            if words & NAME_APART and words <= NAME_APART | NEUTRAL:
+                return part
+        return None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._tags += 1
@@ -131,7 +166,7 @@ class PageLines(HTMLParser):
         if tag == "body" or tag == "main" or tag == "article":
             self._leave_unclosed(tag)
         self._nodes += 1
-        self._open = _Node(tag, self._open, self._open.apart or self._is_apart(tag, dict(attrs)), self._nodes)
+        self._open = _Node(tag, self._open, None if self._open.unread else self._kind(tag, dict(attrs)), self._nodes)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -154,7 +189,7 @@ class PageLines(HTMLParser):
             self._open = at.parent
 
     def handle_data(self, data: str) -> None:
-        if not self._open.apart:
+        if not self._open.unread:
             self._text.append(data)
 
     def _close_implied(self, tag: str) -> None:
@@ -205,15 +240,34 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
+def contents(lines: list[_Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are in the cluster of high smoothed ratios, and which have such a ratio themselves.
+
+    All lines are both if there are no two clusters.
+ Clusters are of magnitudes:
+    paragraphs of 100 and of 300 characters are both text beside links of 5.
+    """
+    own = np.array([len(x.text) / x.tags for x in lines], float)
+    ratio = np.log1p(smoothed(own))
+    border = threshold(ratio)
+    content, high = ratio > border, np.log1p(own) > border
+    if not content.any() or content.all() or ratio[content].mean() - ratio[~content].mean() < APART_BY:
+        content[:] = high[:] = True
+    return content, high
+
+
 def region(lines: list[_Line]) -> list[_Line]:
-    """The lines of the content region, in page order."""
+    """The lines of the article, in page order."""
     if not lines:
         return []
-    ratio = smoothed(np.array([len(x.text) / x.tags for x in lines], float))
-    content = ratio > threshold(ratio)
-    if not content.any():
-        content[:] = True
-    for line, inside in zip(lines, content):
+    content, high = contents(lines)
+    usable = _outside_parts(lines, content)
+    if not usable.any():
+        return []
+    chosen = content & usable
+    if not chosen.any():
+        chosen = usable
+    for line, inside in zip(lines, chosen):
         if inside:
             line.node.mass += len(line.text)
     nodes = _upwards(lines)
@@ -221,15 +275,56 @@ def region(lines: list[_Line]) -> list[_Line]:
         if node.parent is not None:
             node.parent.mass += node.mass
     total = nodes[-1].mass
-    named = [x for x in nodes if x.tag in ("article", "main") and x.mass]
-    holds = [x for x in named if x.mass >= SHARE * total]
-    if holds:
-        root = max(holds, key=lambda x: x.depth)
-    elif named:
-        root = max(named, key=lambda x: (x.mass, x.depth))
-    else:
-        root = _with_heading(max((x for x in nodes if x.mass >= SHARE * total), key=lambda x: x.depth), lines)
-    return _within(lines, root)
+    roots = _articles(nodes, total)
+    if not roots:
+        roots = [_with_heading(max((x for x in nodes if x.mass >= SHARE * total), key=lambda x: x.depth), lines)]
+    for node in reversed(nodes):
+        node.inside = node in roots or (node.parent is not None and bool(node.parent.inside))
+    inside = np.array([bool(x.node.inside) for x in lines])
+    least = max(LONG_TEXT, LIKE * sum(len(x.text) for x, c, i in zip(lines, chosen, inside) if c and i))
+    outside = chosen & ~inside
+    for run in np.split(np.arange(len(lines)), np.flatnonzero(outside[1:] != outside[:-1]) + 1):
+        own = run[high[run]]
+        if outside[run[0]] and sum(len(lines[k].text) for k in own) >= least:  # a long cluster of its own
+            inside[own[0] : own[-1] + 1] = True
+    return [x for x, i, u in zip(lines, inside, usable) if i and u]
+
+
+def _outside_parts(lines: list[_Line], content: np.ndarray) -> np.ndarray:
+    """Lines in no part of the page, but for parts that outvote all that is in none."""
+    taken: set[int] = set()
+    while True:
+        free = 0
+        mass: dict[int, int] = {}
+        within = [next((p.number for p in x.parts if p.number not in taken), None) for x in lines]
+        for line, part, c in zip(lines, within, content):
+            if c and part is None:
+                free += len(line.text)
+            elif c:
+                mass[part] = mass.get(part, 0) + len(line.text)
+        more = {p for p, n in mass.items() if n >= LONG_TEXT and n > OUTVOTES * free}
+        if not more:
+            return np.array([p is None for p in within])
+        taken.add(max(more, key=lambda p: (mass[p], -p)))
+
+
+def _articles(nodes: list[_Node], total: int) -> list[_Node]:
+    """``article`` elements, or a ``main`` one, that have a fair share of the content each and most of it together."""
+    for tag in ("article", "main"):
+        named = [x for x in nodes if x.tag == tag and x.mass]
+        outer = [x for x in named if not any(y is not x and _holds(y, x) for y in named)]
+        largest = max((x.mass for x in outer), default=0)
+        found = [x for x in outer if x.mass >= LIKE * largest]
+        if found and sum(x.mass for x in found) >= MOST * total:
+            return found
+    return []
+
+
+def _holds(outer: _Node, inner: _Node) -> bool:
+    at: _Node | None = inner
+    while at is not None and at.depth > outer.depth:
+        at = at.parent
+    return at is outer
 
 
 def _upwards(lines: list[_Line]) -> list[_Node]:
@@ -243,13 +338,6 @@ def _upwards(lines: list[_Line]) -> list[_Node]:
     return [seen[i] for i in sorted(seen, reverse=True)]
 
 
-def _within(lines: list[_Line], root: _Node) -> list[_Line]:
-    nodes = _upwards(lines)
-    for node in reversed(nodes):
-        node.inside = node is root or (node.parent is not None and bool(node.parent.inside))
-    return [x for x in lines if x.node.inside]
-
-
 def _with_heading(root: _Node, lines: list[_Line]) -> _Node:
     """Widen to the container of the page's first heading, short of the body."""
     head = next((x.node for x in lines if x.heading), None)

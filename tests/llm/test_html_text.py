@@ -81,3 +81,60 @@ def test_names_of_parts():
     for extra in ("<div id=userComments>{0}</div>", "<p class=ad>{0}</p>", "<div role=alert>{0}</div>", "<div style='display: none'>{0}</div>", "<div hidden>{0}</div>"):
         line = " ".join(LONG.split())
         assert main_text(page(body.format(LONG, extra.format(LONG)))) == f"Head\n{line}\nCell"
+
+
+SHORT = "A teaser of one sentence, no more."
+
+
+def paragraphs(n, words="word"):
+    return [" ".join(f"{words}{i}" for _ in range(25)) for i in range(n)]
+
+
+def test_sibling_articles_are_both_kept():
+    first, second = paragraphs(6, "one"), paragraphs(5, "another")
+    html = page("<nav><a>x</a><a>y</a></nav>" + "".join(f"<article>{''.join(f'<p>{x}</p>' for x in part)}</article>" for part in (first, second)))
+    assert main_text(html) == "\n".join(first + second)
+
+
+def test_teaser_article_does_not_outvote_a_long_text():
+    text = paragraphs(30)
+    html = page(f"<article><p>{SHORT}</p></article><div class=story>{''.join(f'<p>{x}</p>' for x in text)}</div><footer>foot</footer>")
+    assert main_text(html) == "\n".join(text)
+
+
+def test_names_inside_an_article_with_long_text():
+    text = paragraphs(3)
+    html = page(
+        f"<article><p>{text[0]}</p><div class='share-price'><p>{text[1]}</p></div><p id='social'>{text[2]}</p>"
+        f"<div class='share-buttons'><a>Share</a> <a>Like</a></div><p>Text <span class=ad>buy</span> goes on</p></article>"
+    )
+    assert main_text(html) == "\n".join([*text, "Text goes on"])
+
+
+def test_parts_that_hold_nearly_everything_are_the_article():
+    text = paragraphs(20)
+    body = "".join(f"<p>{x}</p>" for x in text)
+    for around in ("<form>{}</form>", "<div class=comments>{}</div>", "<aside>{}</aside>"):
+        html = page(around.format("<nav><ul><li><a>menu</a></ul></nav>" + body) + f"<div><p>{SHORT}</p></div>")
+        assert main_text(html) == "\n".join(text)
+
+
+def test_long_cluster_outside_the_article_is_kept():
+    first, second = paragraphs(12, "in"), paragraphs(8, "out")
+    html = page(
+        f"<article>{''.join(f'<p>{x}</p>' for x in first)}</article><div>{'<a>a</a><br><a>b</a><br>' * 8}</div>"
+        f"<div>{''.join(f'<p>{x}</p>' for x in second)}</div>"
+    )
+    assert main_text(html) == "\n".join(first + second)
+
+
+def test_clusters_decide_where_no_element_does(monkeypatch):
+    """Pages of plain containers: the text is told from the links by ratios alone."""
+    text = paragraphs(6)
+    links = "".join(f"<div><a>Link number {i}</a> <a>and another one</a></div>" for i in range(60))
+    html = page(f"<div>{links}</div><div>{''.join(f'<p>{x}</p>' for x in text)}</div>")
+    assert main_text(html) == "\n".join(text)
+    from callsieve.llm import html_text
+
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert main_text(html) != "\n".join(text) and "Link number 0" in main_text(html)
