@@ -243,9 +243,8 @@ def threshold(values: np.ndarray) -> float:
 def contents(lines: list[_Line]) -> tuple[np.ndarray, np.ndarray]:
     """Which lines are in the cluster of high smoothed ratios, and which have such a ratio themselves.
 
-    All lines are both if there are no two clusters.
- Clusters are of magnitudes:
-    paragraphs of 100 and of 300 characters are both text beside links of 5.
+    All lines are both if there are no two clusters. Clusters are of magnitudes: paragraphs of
+    100 and of 300 characters are both text beside links of 5.
     """
     own = np.array([len(x.text) / x.tags for x in lines], float)
     ratio = np.log1p(smoothed(own))
@@ -278,8 +277,9 @@ def region(lines: list[_Line]) -> list[_Line]:
     roots = _articles(nodes, total)
     if not roots:
         roots = [_with_heading(max((x for x in nodes if x.mass >= SHARE * total), key=lambda x: x.depth), lines)]
+    chosen_roots = {x.number for x in roots}
     for node in reversed(nodes):
-        node.inside = node in roots or (node.parent is not None and bool(node.parent.inside))
+        node.inside = node.number in chosen_roots or (node.parent is not None and bool(node.parent.inside))
     inside = np.array([bool(x.node.inside) for x in lines])
     least = max(LONG_TEXT, LIKE * sum(len(x.text) for x, c, i in zip(lines, chosen, inside) if c and i))
     outside = chosen & ~inside
@@ -311,8 +311,13 @@ def _outside_parts(lines: list[_Line], content: np.ndarray) -> np.ndarray:
 def _articles(nodes: list[_Node], total: int) -> list[_Node]:
     """``article`` elements, or a ``main`` one, that have a fair share of the content each and most of it together."""
     for tag in ("article", "main"):
-        named = [x for x in nodes if x.tag == tag and x.mass]
-        outer = [x for x in named if not any(y is not x and _holds(y, x) for y in named)]
+        outer, within = [], set()
+        for node in reversed(nodes):  # from outside in
+            if node.parent is not None and node.parent.number in within:
+                within.add(node.number)
+            elif node.tag == tag and node.mass:
+                within.add(node.number)
+                outer.append(node)
         largest = max((x.mass for x in outer), default=0)
         found = [x for x in outer if x.mass >= LIKE * largest]
         if found and sum(x.mass for x in found) >= MOST * total:
@@ -320,13 +325,6 @@ def _articles(nodes: list[_Node], total: int) -> list[_Node]:
     return []
 
 
-def _holds(outer: _Node, inner: _Node) -> bool:
-    at: _Node | None = inner
-    while at is not None and at.depth > outer.depth:
-        at = at.parent
-    return at is outer
-
-
 def _upwards(lines: list[_Line]) -> list[_Node]:
     """All elements around the lines, the latest opened first, the root last."""
     seen: dict[int, _Node] = {}
