@@ -15,7 +15,7 @@ def con():
 
 def test_every_sql_text_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) - {"control_scores"} == set(ORACLE_SQL)  # tests/test_boosting.py has its brute-force version
 
 
 def test_entry(spark):
