@@ -683,3 +683,12 @@ WITH {EVENTS}, placed AS (
 kept AS (SELECT * FROM placed WHERE error_code IS NULL QUALIFY row_number() OVER (PARTITION BY eid ORDER BY line) = 1)
 SELECT eid AS event_id, line AS source_offset, {_EPOCH} AS occurred_at, {_fp('txt')} AS transcript_hash, length(txt)::INTEGER AS char_count
 FROM kept"""
+ORACLE_SQL["feature_lookups"] = f"""
+WITH {FEATURE_ROWS}, latest AS (
+  SELECT entity_id, split, {_features('text')}, toxic AS is_fraud FROM docs WHERE toxic IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY split_rank DESC, doc_id DESC) = 1),
+stored AS (
+  SELECT *, 'v1' AS dataset_version FROM latest UNION ALL SELECT *, 'v2' FROM latest WHERE is_fraud = 1)
+SELECT entity_id, dataset_version, split, word_count, is_fraud::INTEGER AS is_fraud FROM stored
+WHERE (dataset_version = 'v1' AND split = 'test' AND is_fraud = 1) OR (dataset_version = 'v2' AND split = 'train')
+  OR (dataset_version = 'v2' AND split = 'val' AND is_fraud = 0)"""

@@ -278,6 +278,17 @@ def feature_store(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def feature_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows of one split from a store of two versions."""
+    path = fresh_dir(spark, "feature-store")
+    rows = features.latest_features(_feature_rows(spark, sf, labelled=True))
+    for version in ("v1", "v2"):
+        one = rows.filter((F.col("is_fraud") == 1) | (F.lit(version) == "v1")).withColumn("dataset_version", F.lit(version))
+        sinks.write_features(one, path)
+    found = [features.feature_lookup(read_features(spark, path), *q) for q in (("v1", "test", True), ("v2", "train", None), ("v2", "val", False))]
+    return found[0].union(found[1]).union(found[2]).select("entity_id", "dataset_version", "split", "word_count", "is_fraud")
+
+
 def materialize_report(spark: SparkSession, sf: str) -> DataFrame:
     return features.materialize_report(_feature_rows(spark, sf, labelled=False))
 
@@ -688,6 +699,6 @@ QUERIES: dict[str, Query] = {
         latency_p95, latency_table, live_rates, event_contract, stream_curated,
         stream_dead_letter, stream_stats, stream_resume, stream_growing_file, stream_drift, tfidf_terms, corpus_from_files,
         predictions_roundtrip, feature_store, predictions_in_order, operational_metrics, tfidf_weights,
-        control_scores,
+        control_scores, feature_lookups,
     )
 }

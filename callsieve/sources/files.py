@@ -10,6 +10,7 @@ from callsieve import schemas as S
 from callsieve.functions.text import extract_transcript, is_blank
 from callsieve.functions.verdict import is_fraud, with_verdict
 from callsieve.session import fresh_dir
+from callsieve.sources.feature_table import read_features  # noqa: F401 - one of the readers
 
 # Keys a prediction record may use; the first one present is read.
 PREDICTION_KEYS = ("prediction", "completion", "output")
@@ -131,10 +132,6 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.FEATURES).parquet(path)
-
-
 def stream_table(spark: SparkSession, base: str, name: str, schema: str, **options) -> DataFrame:
     """Stream a Parquet table that is a folder of files or one single file.
 

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsieve.functions.verdict import render_completion, render_prompt
-from callsieve.operators.features import upsert_features
 from callsieve.schemas import FEATURES, SPLITS
-from callsieve.session import fresh_dir, path_exists
+from callsieve.sources.feature_table import upsert
 
 
 def to_examples(pairs: DataFrame) -> DataFrame:
@@ -73,26 +72,10 @@ def write_features(features: DataFrame, path: str) -> None:
     """Upsert by ``(entity_id, dataset_version)`` into the stored table.
 
     ``features`` may be a part of a version: rows of other keys stay, a key that is
-    stored in another split moves. Only the versions at hand are read and replaced:
-    merged into a new snapshot in the shared folder first, then swapped in, so a
-    failure before that leaves the stored table as it was.
+    stored in another split moves. Only buckets of the keys at hand are read and written; they
+    count from one rename on, so a failure before that leaves the stored table as it was.
     """
-    spark = features.sparkSession
-    columns = [f.name for f in FEATURES.fields]
-    incoming = checked_features(features.select(*columns))
-    if path_exists(spark, path):
-        touched = features.select("dataset_version").distinct()
-        stored = spark.read.schema(FEATURES).parquet(path).join(touched, "dataset_version", "left_semi")
-        incoming = upsert_features(stored.select(*columns), incoming.withColumn("ordinal", F.lit(0).cast("long")))
-    snapshot = fresh_dir(spark, "features")
-    incoming.select(*columns).write.parquet(snapshot)
-    (
-        spark.read.schema(FEATURES).parquet(snapshot)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset_version")
-        .parquet(path)
-    )
+    upsert(checked_features(features.select(*[f.name for f in FEATURES.fields])), path)
 
 
 def write_error_rows(records: DataFrame, path: str) -> None:

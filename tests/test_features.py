@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from callsieve.operators import features as X
+from callsieve.sources import feature_table as table
 from callsieve.sources import sinks
 from callsieve.sources.files import read_features
 
@@ -51,9 +53,52 @@ def test_partial_batches_keep_the_rest(spark, folder):
     assert got == [("test", 1), ("train", 0), ("train", 1), ("val", 0)]
 
 
-def test_constraints(spark, folder):
-    import pytest
+def many(spark, ids, split="train"):
+    return X.latest_features(rows(spark, *[(i, f"text number {i}", split, False) for i in ids]))
+
+
+def test_one_key_rewrites_one_bucket(spark, folder):
+    path = f"{folder}/store"
+    sinks.write_features(many(spark, range(100)), path)
+    before = table.read_manifest(spark, path)
+    assert before.buckets == table.LEAST_BUCKETS == len(before.folders)
+    sinks.write_features(many(spark, [7], "test"), path)
+    after = table.read_manifest(spark, path)
+    assert sum(before.folders[k] != after.folders[k] for k in before.folders) == 1
+    stored = read_features(spark, path)
+    assert stored.count() == 100 and stored.filter("split = 'test'").count() == 1
+    assert table.vacuum(spark, path) == 1 and table.vacuum(spark, path) == 0
+    assert read_features(spark, path).count() == 100
+
+
+def test_crash_before_the_rename_leaves_the_old_snapshot(spark, folder, monkeypatch):
+    path = f"{folder}/store"
+    sinks.write_features(many(spark, range(20)), path)
+    open_before = read_features(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(table, "_swap_manifest", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            sinks.write_features(many(spark, range(40), "test"), path)
+    assert read_features(spark, path).filter("split = 'train'").count() == read_features(spark, path).count() == 20
+    sinks.write_features(many(spark, range(40), "test"), path)
+    assert read_features(spark, path).filter("split = 'test'").count() == 40
+    assert open_before.filter("split = 'train'").count() == 20  # a reader keeps what it opened
+    assert table.vacuum(spark, path) > 0 and read_features(spark, path).count() == 40
+
+
+def test_odd_version_names_and_empty_batches(spark, folder):
+    path = f"{folder}/store"
+    for version in ("a/b=c", "2026-01-01", "1", "x y%"):
+        sinks.write_features(many(spark, range(5)).withColumn("dataset_version", F.lit(version)), path)
+    sinks.write_features(many(spark, range(5)).limit(0), path)
+    assert {r.dataset_version: r.n for r in read_features(spark, path).groupBy("dataset_version").agg(F.count("*").alias("n")).collect()} == {
+        "a/b=c": 5, "2026-01-01": 5, "1": 5, "x y%": 5
+    }
+    with pytest.raises(ValueError):
+        read_features(spark, f"{folder}/nothing")
 
+
+def test_constraints(spark, folder):
     good = X.latest_features(rows(spark, (0, "a", "train", False)))
     for bad in ({"split": F.lit("exam")}, {"turn_count": F.lit(0)}, {"digit_ratio": F.lit(1.5)}, {"has_url": F.lit(None).cast("int")}):
         with pytest.raises(Exception, match="breaks its constraint"):
