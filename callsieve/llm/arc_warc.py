@@ -23,10 +23,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.llm.workers import bounded_batches, map_arrow
+from callsieve.llm.grouping import join_groups, written
+from callsieve.llm.workers import bounded_batches
 
 #: Fixed values of the two formats.
 FIELDS_V1 = ("url", "ip", "date", "type", "length")
@@ -151,7 +152,13 @@ _RECORD = pa.schema(
     [
         ("key", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("kind", pa.string()),
         ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-        ("truncated", pa.bool_()),
+        ("truncated", pa.bool_()), ("origin", pa.struct([("key", pa.int64()), ("uri", pa.string()), ("date", pa.string())])),
+    ]
+)
+_DIGESTS = pa.schema(
+    [
+        ("name", pa.string()), ("n", pa.int32()), ("key", pa.int64()), ("uri", pa.string()), ("date", pa.string()),
+        ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
     ]
 )
 
@@ -185,7 +192,7 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
             yield out()
 
     bounded_batches(pages.sparkSession)
-    return _captures(pages, key, url, html).drop("digest").mapInArrow(run, "name string, content binary")
+    return _captures(pages, key, url, html).mapInArrow(run, "name string, content binary")
 
 
 def _captures(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -199,15 +206,53 @@ def _captures(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     )
 
 
+#: What tells which records repeat: where a record is, and what of it counts.
+DIGESTS = "name string, n int, key long, uri string, date string, payload_bytes long, payload_digest string"
+_ORIGIN = "struct<key: long, uri: string, date: string>"
+
+
+def record_digests(archives: DataFrame) -> DataFrame:
+    """The records of ARC files without their bodies, as rows of :data:`DIGESTS`; ``n`` counts within a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [(n, *converted(r)) for n, r in enumerate(parse_arc(content))]
+                rows = [(name, n, r[0], r[1], r[2], r[7], r[8]) for n, *r in found]
+                if rows:
+                    yield _batch(rows, _DIGESTS)
+
+    bounded_batches(archives.sparkSession)
+    return archives.select("name", "content").mapInArrow(run, DIGESTS)
+
+
+def with_origins(archives: DataFrame, digests: DataFrame) -> DataFrame:
+    """``archives`` with ``origins``: for each record that repeats another's payload its place and what it refers to.
+
+    Only slim rows are grouped by payload. What was found out goes back to the archive that
+    the record is in, as one short list, so a payload that a third of the records share is
+    moved neither as a payload nor to one task.
+    """
+    large = digests.filter(F.col("payload_bytes") >= LEAST_REVISIT)
+    firsts = written(origins(large), "origins")
+    found = join_groups(large.select("name", "n", "key", "payload_digest"), firsts, "payload_digest", "_n")
+    other = F.col("key").isNull() | (F.col("key") != F.col("_origin.key"))
+    lists = found.filter(F.col("_origin").isNotNull() & other).groupBy("name").agg(F.collect_list(F.struct("n", "_origin")).alias("origins"))
+    return archives.join(lists, "name", "left")
+
+
 def convert(archives: DataFrame) -> DataFrame:
-    """ARC files as rows of :data:`RECORD`, whole bodies."""
+    """ARC files as rows of :data:`RECORD`, whole bodies, with ``origin`` as :func:`with_origins` says (else NULL)."""
+    if "origins" not in archives.columns:
+        archives = archives.withColumn("origins", F.lit(None).cast(f"array<struct<n: int, _origin: {_ORIGIN}>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                refers = {x["n"]: x["_origin"] for x in batch.column("origins")[i].as_py() or ()}
                 rows, size = [], 0
-                for record in parse_arc(batch.column("content")[i].as_py()):
-                    rows.append(converted(record))
+                for n, record in enumerate(parse_arc(batch.column("content")[i].as_py())):
+                    rows.append((*converted(record), refers.get(n)))
                     size += record.length
                     if size >= ARCHIVE_BYTES:
                         yield _batch(rows, _RECORD)
@@ -216,7 +261,7 @@ def convert(archives: DataFrame) -> DataFrame:
                     yield _batch(rows, _RECORD)
 
     bounded_batches(archives.sparkSession)
-    return archives.select("name", "content").mapInArrow(run, RECORD)
+    return archives.select("name", "content", "origins").mapInArrow(run, f"{RECORD}, origin {_ORIGIN}")
 
 
 def origins(digests: DataFrame) -> DataFrame:
@@ -232,22 +277,10 @@ def origins(digests: DataFrame) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.count(F.lit(1)).alias("_n"), first.alias("_origin"))
         .filter("_n > 1 and _origin is not null")
-        .select("payload_digest", "_origin")
+        .select("payload_digest", "_origin", "_n")
     )
 
 
-def mark_revisits(records: DataFrame, digests: DataFrame | None = None) -> DataFrame:
-    """Add ``origin`` (key, uri, date of the record to refer to), NULL for others.
-
-    Rows that share the smallest key are all kept as they are; rows without a key
-    refer to the one that has the smallest. ``digests`` may hold the slim columns of
-    the same records if there is a cheaper way to them.
-    """
-    found = records.join(origins(records if digests is None else digests), "payload_digest", "left")
-    other = F.col("key").isNull() | (F.col("key") != F.col("_origin.key"))
-    return found.withColumn("origin", F.when(other, F.col("_origin"))).drop("_origin")
-
-
 def warc_record(row: dict) -> bytes:
     """A WARC record without its two closing line ends."""
     origin, digest = row["origin"], row["payload_digest"]
@@ -370,21 +403,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(lambda batches: (out for b in batches for out in run(b)), READ)
 
 
-def digests_of(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """What :func:`origins` needs to know of pages, without archives."""
-    return _captures(pages, key, url, html).select(
-        F.sha2("payload", 256).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "key",
-        "uri",
-        "date",
-    )
-
-
 def pages_to_warc(pages: DataFrame, path: str) -> None:
     """Pages through ARC archives into WARC files below ``path``.
 
     One record for each row, repeated rows and NULLs included (a NULL page has an
     empty payload); an empty table writes no record. Other columns are not read.
     """
-    write_warc(mark_revisits(convert(archive_pages(pages)), digests_of(pages)), path)
+    archives_to_warc(written(archive_pages(pages), "arc"), path)
+
+
+def archives_to_warc(archives: DataFrame, path: str) -> None:
+    """ARC files (a table, as they are read twice) into WARC files below ``path``; names must be unique.
+
+    Which record is the response of a payload is told from the converted records.
+    """
+    digests = written(record_digests(archives), "arc-digests")
+    write_warc(convert(with_origins(archives, digests)), path)

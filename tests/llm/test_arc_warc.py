@@ -71,3 +71,22 @@ def test_pages(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert op4_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_responses_are_told_from_the_converted_records(spark, tmp_path):
+    """Archives of others, whose payloads no table of pages knows."""
+    body = lambda k, x: f"HTTP/1.1 200 OK\r\nX-Page-Id: {k}\r\n\r\n{x}".encode()
+    first = a.write_arc("a.arc", 1, [("http://a/", "-", "20010203", "text/html", body(7, "x" * 200)), ("http://b/", "-", "2002", "text/html", body(3, "y" * 200))])
+    second = a.write_arc("b.arc", 2, [("http://c/", "-", "2003", "text/html", body(2, "x" * 200)), ("http://d/", "-", "2004", "text/html", body(9, "short"))])
+    archives = spark.createDataFrame([("a.arc", first), ("b.arc", second)], "name string, content binary")
+    a.archives_to_warc(archives, f"file://{tmp_path}/warc")
+    back = {r.key: r for r in a.read_warc(spark, f"file://{tmp_path}/warc").collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in back.items()} == {7: ("revisit", 2), 3: ("response", None), 2: ("response", None), 9: ("response", None)}
+    assert back[7].refers_to_id == back[2].record_id and back[7].date == "2001-02-03T00:00:00Z"
+
+
+def test_many_copies_of_one_page(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", "error page " * 20 if i % 3 == 0 else f"page {i} " * 20) for i in range(600)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    got = op4_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
