@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from callsieve.llm.grouping import written
 from callsieve.llm.workers import map_arrow, worker_state
 
-#: Bounds of the fit: labelled documents, words that may have a weight.
+#: Bound of the fit: labelled documents. What has a weight is in at least ``LEAST_N`` of them, and
+#: more often in bad or in toxic ones, or less often in bad ones, than chance explains.
 SAMPLE = 16_000
-MOST_WORDS = 400
-LEAST_Z = 4.0
+LEAST_N, LEAST_Z = 5, 4.0
+#: Besides words their beginnings, which words of one stem share.
+PREFIXES = (3, 4, 5)
+#: How many times a toxic document counts in the fit: they are few, and of few words each.
+TOXIC_WEIGHT = 2.0
 WORD_SPACE = 1 << 22
 RIDGE = 0.2
 #: Evidence is kept off 0 and 1, so that the groups have a say.
@@ -46,13 +50,15 @@ class Model(NamedTuple):
 
 
 class _Facts(dict):
-    """What is known of a token: ``(hashed word, flags)``."""
+    """What is known of a token: ``(hashed word and beginnings, flags)``."""
 
     def __missing__(self, token: str) -> tuple:
         core = token.strip("!?.,;:*$#&%|\"'()[]{}<>-_=+/\\~^`@")
         letters = sum(map(str.isalpha, token))
+        word = core.lower()
+        parts = [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)] if word else []
         made = (
-            xxhash.xxh64_intdigest(core.lower().encode()) % WORD_SPACE if core else -1,
+            tuple(xxhash.xxh64_intdigest(x.encode()) % WORD_SPACE for x in parts),
             letters > 1 and token.upper() == token and token.lower() != token,
             token.endswith("!!") or token.endswith("??"),
             any(c in "*$#&%^~=@\\<>{}" for c in token),
@@ -61,13 +67,13 @@ class _Facts(dict):
             len(token) > 18,
             token[-1] in ".!?",
         )
-        if len(self) < 200_000 and len(token) <= 40:
+        if len(self) < 100_000 and len(token) <= 40:
             self[token] = made
         return made
 
 
 def features(text: str | None, facts) -> tuple[list[float], set[int]]:
-    """Shape numbers (as :data:`SHAPES`) and the hashed words of a text."""
+    """Shape numbers (as :data:`SHAPES`) and the hashed words and beginnings of words of a text."""
     tokens = text.split() if text else []
     if not tokens:
         return [0.0] * len(SHAPES), set()
@@ -79,11 +85,10 @@ def features(text: str | None, facts) -> tuple[list[float], set[int]]:
     words = set()
     for t, c in counts.items():
         f = facts(t)
-        words.add(f[0])
+        words.update(f[0])
         for i in range(7):
             if f[i + 1]:
                 sums[i] += c
-    words.discard(-1)
     lines = [x for x in text.split("\n") if x]
     same = sum(map(str.__eq__, tokens, tokens[1:]))
     share = [(s / n) ** 0.5 for s in sums]
@@ -98,7 +103,7 @@ def _facts():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE) -> DataFrame:
-    """``text, bad`` of about ``bound`` labelled documents, chosen by a hash of their ids.
+    """``text, bad, toxic`` of about ``bound`` labelled documents, chosen by a hash of their ids.
 
     Bad is a quality of 0 or a toxic mark. Labels without an id or a quality do not
     count; of several for one id the worst does. The chosen labels are few enough to
@@ -107,36 +112,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     one = (
         labels.filter("doc_id is not null and quality is not null")
         .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max((F.col("quality") != 1) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+        .agg(
+            F.max((F.col("quality") != 1) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"),
+            F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"),
+        )
     )
     n = one.count()
     drawn = one.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < min(1.0, bound / max(n, 1)) * (1 << 30))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn), "_id").select("text", "bad")
+    return texts.join(F.broadcast(drawn), "_id").select("text", "bad", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The document classifier; None if the labels do not have good and bad documents."""
     sample = written(labelled_sample(docs, labels, id_col, text_col), "labelled")
-    facts = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("bad")).first()
-    if not facts.n or not facts.bad or facts.bad == facts.n:
+    share = lambda c: F.avg(F.col(c).cast("int")).alias(c)
+    rates = sample.agg(share("bad"), share("toxic")).first()
+    if not rates.bad or rates.bad == 1.0:
         return None
-    rate = facts.bad / facts.n
 
     def word_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = _facts()
-        found = [(w, bad) for text, bad in zip(*(c.to_pylist() for c in batch.columns)) for w in features(text, known)[1]]
-        word, bad = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bad, pa.bool_())], ["word", "bad"])
+        found = [(w, bad, toxic) for text, bad, toxic in zip(*(c.to_pylist() for c in batch.columns)) for w in features(text, known)[1]]
+        word, bad, toxic = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(bad, pa.bool_()), pa.array(toxic, pa.bool_())], ["word", "bad", "toxic"])
+
+    def z(c: str) -> Column:
+        rate = rates[c]
+        return (F.col(c) - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))) if 0 < rate < 1 else F.lit(0.0)
 
-    z = (F.col("b") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
     told = (
-        map_arrow(sample, word_rows, "word long, bad boolean")
+        map_arrow(sample, word_rows, "word long, bad boolean, toxic boolean")
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("b"))
-        .filter((F.col("n") >= 5) & (F.abs(z) >= LEAST_Z))
-        .orderBy(F.desc(F.abs(z)), "word")
-        .limit(MOST_WORDS)
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("int")).alias(c) for c in ("bad", "toxic")])
+        .filter((F.col("n") >= LEAST_N) & ((F.abs(z("bad")) >= LEAST_Z) | (z("toxic") >= LEAST_Z)))
+        .orderBy("word")
         .collect()
     )
     words = {r.word: i for i, r in enumerate(told)}
@@ -147,35 +157,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("bad"),
+                batch.column("toxic"),
                 pa.array([f[0] for f in found], pa.list_(pa.float64())),
                 pa.array([sorted(words[w] for w in f[1] if w in words) for f in found], pa.list_(pa.int32())),
             ],
-            ["bad", "shape", "words"],
+            ["bad", "toxic", "shape", "words"],
         )
 
-    rows = map_arrow(sample, vectors, "bad boolean, shape array<double>, words array<int>").toArrow()
+    rows = map_arrow(sample, vectors, "bad boolean, toxic boolean, shape array<double>, words array<int>").toArrow()
     shape = np.array(rows.column("shape").to_pylist(), float)
     mean, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-9
-    x = np.zeros((len(shape), len(SHAPES) + len(words) + 1))
-    x[:, : len(SHAPES)] = (shape - mean) / scale
-    for i, own in enumerate(rows.column("words").to_pylist()):
-        x[i, [len(SHAPES) + w for w in own]] = 1
-    x[:, -1] = 1
-    good = 1.0 - np.array(rows.column("bad").to_pylist(), float)
-    return Model(words, mean, scale, logistic(x, good))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
-    """Ridge-penalised logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+    dense = np.hstack([(shape - mean) / scale, np.ones((len(shape), 1))])
+    lists = rows.column("words").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    good = 1.0 - rows.column("bad").to_numpy().astype(float)
+    counts = np.where(rows.column("toxic").to_numpy(), TOXIC_WEIGHT, 1.0)
+    w = logistic(dense, np.repeat(np.arange(len(shape)), sizes), lists.flatten().to_numpy(), len(words), good, counts)
+    k = len(SHAPES)
+    return Model(words, mean, scale, np.concatenate([w[:k], w[k + 1 :], w[k : k + 1]]))
+
+
+def logistic(
+    dense: np.ndarray, row: np.ndarray, column: np.ndarray, columns: int, y: np.ndarray, counts: np.ndarray, ridge: float = RIDGE, rounds: int = 25
+) -> np.ndarray:
+    """Ridge-penalised logistic regression by Newton's method, its steps by conjugate gradients.
+
+    Inputs are dense columns (the last one constant) and ones at ``(row, column)``; ``counts`` says how often each
+    row counts. Nothing larger than the ones themselves is made.
+    """
+    n, d = dense.shape
+    penalty = np.full(d + columns, ridge)
+    penalty[d - 1] = 1e-6
+    w = np.zeros(d + columns)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return dense @ v[:d] + np.bincount(row, v[d:][column], n)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate([dense.T @ r, np.bincount(column, r[row], columns)])
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (y - p) - penalty * w
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x
-        curve[np.diag_indices(len(w))] += penalty
-        step = np.linalg.solve(curve, gradient)
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        gradient = back(counts * (y - p)) - penalty * w
+        curve = counts * (p * (1 - p) + 1e-9)
+        scale = np.concatenate([(dense * dense * curve[:, None]).sum(axis=0), np.bincount(column, curve[row], columns)]) + penalty
+        step, left = np.zeros_like(w), gradient.copy()
+        ahead = side = left / scale
+        size = left @ ahead
+        goal = 1e-12 * max(size, 1e-30)
+        for _ in range(200):
+            if size <= goal:
+                break
+            bent = back(curve * forward(side)) + penalty * side
+            move = size / (side @ bent)
+            step += move * side
+            left -= move * bent
+            ahead = left / scale
+            size, before = left @ ahead, size
+            side = ahead + size / before * side
         w = w + step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
