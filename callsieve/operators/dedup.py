@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsieve.session import fresh_dir
+
 
 def first_ordinals(df: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
     """One row per key: its lowest ordinal, under the name of ``order``."""
@@ -49,3 +51,20 @@ def keep_last_small(df: DataFrame, keys: list[str], order: str = "ordinal") -> D
 def not_in(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key does not occur in an existing table."""
     return df.join(seen.select(*keys), keys, "left_anti")
+
+
+def keep_new(df: DataFrame, key: str, seen: DataFrame, order: str = "ordinal") -> DataFrame:
+    """The first row of every key that no earlier drop has; ``seen`` has the keys of all of those.
+
+    Only keys and ordinals are compared. The drop's winners, one row a key, are written first: as a
+    scan they let Spark put a runtime Bloom filter of their keys before the shuffle of a large
+    history, of which only rows that may match are then moved. What is found there is taken out
+    of the drop. A NULL key is never found.
+    """
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, "winners")
+    first = df.groupBy(key).agg(F.min(order).alias(order))
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    any_key = F.length(F.col(key).cast("string")) >= 0  # a filter at the scan is what Spark asks for
+    known = seen.select(key).join(first.filter(any_key).select(key), key, "left_semi")
+    return df.join(not_in(first, known, [key]).select(order), order, "left_semi")

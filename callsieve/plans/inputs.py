@@ -113,6 +113,8 @@ def raw_output(row_idx: Column, fraud: Column) -> Column:
         F.when(flip, prose)
         .when(i % 11 == 0, "not json")
         .when(i % 13 == 0, F.concat(head, tail))
+        .when(i % 29 == 0, '{"risk": }')
+        .when(i % 31 == 0, F.concat(head, reason, F.lit(', "flagged_spans": [1, 2]}')))
         .when(i % 17 == 0, prose)
         .when(i % 19 == 0, F.concat(head, F.lit(', "reason": 5'), tail))
         .otherwise(prose)

@@ -100,7 +100,9 @@ def _raw(i: str, fraud: str) -> str:
     good = f"""({head} || ', "reason": "Caller exhibits a scam pattern."' || {tail})"""
     prose = f"(CASE WHEN {i} % 2 = 0 THEN 'Answer: ' || {good} || ' end' ELSE {good} END)"
     return f"""(CASE WHEN {i} % 7 = 0 THEN {prose} WHEN {i} % 11 = 0 THEN 'not json'
-      WHEN {i} % 13 = 0 THEN {head} || {tail} WHEN {i} % 17 = 0 THEN {prose}
+      WHEN {i} % 13 = 0 THEN {head} || {tail} WHEN {i} % 29 = 0 THEN '{{"risk": }}'
+      WHEN {i} % 31 = 0 THEN {head} || ', "reason": "Caller exhibits a scam pattern.", "flagged_spans": [1, 2]}}'
+      WHEN {i} % 17 = 0 THEN {prose}
       WHEN {i} % 19 = 0 THEN {head} || ', "reason": 5' || {tail} ELSE {prose} END)"""
 
 
@@ -120,7 +122,8 @@ coded AS (
     WHEN json_type(frag, '$.risk') IS NULL OR json_type(frag, '$.fraud_type') IS NULL
       OR json_type(frag, '$.reason') IS NULL THEN 'missing_required_field'
     WHEN json_extract_string(frag, '$.risk') NOT IN ('low', 'medium', 'high') THEN 'invalid_enum'
-    WHEN json_type(frag, '$.reason') <> 'VARCHAR' THEN 'invalid_reason' END AS failure
+    WHEN json_type(frag, '$.reason') <> 'VARCHAR' THEN 'invalid_reason'
+    WHEN regexp_matches(frag, '"flagged_spans": \\[[0-9]') THEN 'invalid_flagged_spans' END AS failure
   FROM frags),
 scored AS (
   SELECT *, failure IS NULL AS json_valid,
@@ -433,7 +436,7 @@ SELECT doc_id, {_fp('text')} AS fingerprint, lang FROM documents
 QUALIFY row_number() OVER (PARTITION BY {_fp('text')} ORDER BY doc_id) = 1""",
     "intake_gate": """
 SELECT source, count(*) AS items, count(*) FILTER (length(text) > 20000) AS texts_refused,
-  count(*) FILTER (strlen(text) = 0 OR strlen(text) > 25 * 1024 * 1024) AS recordings_refused
+  count(*) FILTER (strlen(text) = 0 OR strlen(text) * 4096 > 25 * 1024 * 1024) AS recordings_refused
 FROM documents GROUP BY source""",
     "corpus_union": f"""
 WITH calls AS (
@@ -692,3 +695,21 @@ stored AS (
 SELECT entity_id, dataset_version, split, word_count, is_fraud::INTEGER AS is_fraud FROM stored
 WHERE (dataset_version = 'v1' AND split = 'test' AND is_fraud = 1) OR (dataset_version = 'v2' AND split = 'train')
   OR (dataset_version = 'v2' AND split = 'val' AND is_fraud = 0)"""
+ORACLE_SQL["incremental_dedup"] = f"""
+SELECT doc_id, {_fp('text')} AS fingerprint, (doc_id % 2)::INTEGER AS drop FROM documents
+QUALIFY row_number() OVER (PARTITION BY {_fp('text')} ORDER BY doc_id % 2, doc_id) = 1"""
+ORACLE_SQL["quarantine_written"] = ORACLE_SQL["contract_quarantine"]
+ORACLE_SQL["errors_written"] = ORACLE_SQL["error_rows"]
+ORACLE_SQL["metrics_written"] = ORACLE_SQL["metrics_long"]
+ORACLE_SQL["report_written"] = f"""
+SELECT input_rows, accepted_rows, contract_violation_ratio, passed, CASE WHEN passed THEN '' ELSE
+  'data quality gate failed: contract_violation_ratio=' || printf('%.4f', contract_violation_ratio) || ' exceeds 0.0100' END AS stopped
+FROM ({ORACLE_SQL["quality_report"]})"""
+ORACLE_SQL["examples_written"] = f"""
+WITH {PAIRS} SELECT row_idx, sha256(transcript) AS transcript_sha, risk, risk IN ('medium', 'high') AS gold FROM routed WHERE reason IS NULL"""
+ORACLE_SQL["cases_written"] = f"SELECT candidate, n, counterfactual_pairs, passed, failed_checks FROM ({ORACLE_SQL['rai_checks']})"
+ORACLE_SQL["split_file_digests"] = f"""
+WITH {LABEL_SPLIT}, f AS (SELECT split, string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id) || chr(10) AS body FROM split GROUP BY split),
+b AS (SELECT split, length(body) AS length, i, sha256(substr(body, i * 4096 + 1, 4096)) AS digest FROM f, range(0, (length(body) + 4095) // 4096) AS r(i))
+SELECT split, length, CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(unhex(string_agg(digest, '' ORDER BY i))) END AS sha256
+FROM b GROUP BY split, length"""

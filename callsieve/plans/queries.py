@@ -20,12 +20,21 @@ from callsieve.operators import (
     split,
     telemetry,
 )
-from callsieve.operators.dedup import keep_first
+from callsieve.operators.dedup import keep_first, keep_new
 from callsieve.plans import inputs as I
 from callsieve.schemas import DriftPolicy, RegressionFloors
 from callsieve.session import configure, fresh_dir, publish_file
 from callsieve.sources import corpora, sinks
-from callsieve.sources.files import load_predictions, read_features, read_json_lines, stream_table
+from callsieve.sources.digests import file_block_digests, folded_digests
+from callsieve.sources.files import (
+    load_cases,
+    load_predictions,
+    load_split,
+    read_document,
+    read_features,
+    read_json_lines,
+    stream_table,
+)
 from callsieve.streaming import ingest, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,12 +115,26 @@ def first_wins_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return keep_first(keyed, "fingerprint").select("doc_id", "fingerprint", "lang")
 
 
+def incremental_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Two drops of documents, even and odd ids; the second is de-duplicated against the first."""
+    root = fresh_dir(spark, "fingerprints")
+    keyed = I.documents(spark, sf).select(
+        "doc_id", F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 2).cast("int").alias("drop"), text.fingerprint(F.col("text")).alias("fingerprint")
+    )
+    kept = []
+    for drop in (0, 1):
+        batch = keyed.filter(F.col("drop") == drop)
+        new = keep_new(batch, "fingerprint", spark.read.parquet(root)) if drop else keep_first(batch, "fingerprint")
+        new.select("fingerprint", "doc_id", "drop").write.mode("append").partitionBy("drop").parquet(root)
+    return spark.read.parquet(root).select("doc_id", "fingerprint", "drop")
+
+
 def intake_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Oversized texts and recordings, refused with a reason; by source."""
     d = I.documents(spark, sf).select(
         "source",
         contract.text_intake(F.col("text")).alias("text_reason"),
-        contract.audio_intake(F.octet_length("text")).alias("audio_reason"),
+        contract.audio_intake(F.octet_length("text").cast("long") * 4096).alias("audio_reason"),
     )
     return d.groupBy("source").agg(
         F.count(F.lit(1)).alias("items"),
@@ -120,6 +143,72 @@ def intake_gate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- written and read back ------------------------------------------------------
+
+def quarantine_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_dir(spark, "quarantine")
+    sinks.write_quarantine(quality.quarantine(I.pairs(spark, sf)), path)
+    return spark.read.schema("fingerprint string, reason string, transcript_chars int").json(path)
+
+
+def report_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as a document, and whether the stop gate would let the build go on."""
+    path = fresh_dir(spark, "report")
+    report = quality.quality_report(I.pairs(spark, sf))
+    sinks.write_report(report, path)
+    back = read_document(spark, path, report.schema)
+    try:
+        quality.enforce_quality(back)
+        stopped = ""
+    except quality.QualityGateError as error:
+        stopped = str(error)
+    return back.select(
+        "input_rows", "accepted_rows", _r("contract_violation_ratio").alias("contract_violation_ratio"), "passed", F.lit(stopped).alias("stopped")
+    )
+
+
+def errors_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_dir(spark, "errors")
+    records = errors.error_records(_error_rows(spark, sf), ["domain"])
+    sinks.write_error_rows(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    return back.withColumn("categories", F.array_join("categories", ","))
+
+
+def metrics_written(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_dir(spark, "metrics")
+    long = evaluate.metrics_long(_metrics(spark, sf), ["domain", "model"])
+    sinks.write_metrics(long, path)
+    return spark.read.schema(long.schema).parquet(path).select("name", _r("value").alias("value"))
+
+
+def examples_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted pairs as instruction examples of an evaluation-only dataset, read back as gold, blank lines added."""
+    path = fresh_dir(spark, "examples")
+    pairs = quality.accepted(I.pairs(spark, sf)).select(F.col("row_idx").alias("row_key"), "row_idx", "transcript", "verdict")
+    sinks.write_examples(sinks.to_examples(split.assign_splits(pairs, eval_only=True)), path)
+    spark.range(3).select(F.lit("   ").alias("value")).write.mode("append").text(f"{path}/split=test")
+    gold = load_split(spark, f"{path}/split=test")
+    return gold.select("row_idx", F.sha2("transcript", 256).alias("transcript_sha"), F.col("verdict.risk").alias("risk"), "gold")
+
+
+def cases_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Responsible-AI cases as a file, one candidate after the other."""
+    path = fresh_dir(spark, "cases")
+    I.rai_cases(spark, sf).write.partitionBy("candidate").json(path)
+    checks = release.rai_checks(release.rai_metrics(load_cases(spark, path), ["candidate"]))
+    return checks.select("candidate", "n", "counterfactual_pairs", "passed", F.array_join("failed_checks", ",").alias("failed_checks"))
+
+
+def split_file_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the files of written splits, folded from blocks of 4 KB."""
+    path = fresh_dir(spark, "split-files")
+    rows = _split_docs(spark, sf).select("split", F.col("row_key").cast("string").alias("value"), "row_key")
+    rows.repartition("split").sortWithinPartitions("split", "row_key").select("split", "value").write.partitionBy("split").text(path)
+    files = folded_digests(file_block_digests(spark, path, 4096))
+    return files.select(F.regexp_extract("path", "split=([a-z]+)", 1).alias("split"), "length", "sha256")
+
+
 # --- corpora and splits -----------------------------------------------------
 
 def _sources(spark: SparkSession, sf: str):
@@ -699,6 +788,7 @@ QUERIES: dict[str, Query] = {
         latency_p95, latency_table, live_rates, event_contract, stream_curated,
         stream_dead_letter, stream_stats, stream_resume, stream_growing_file, stream_drift, tfidf_terms, corpus_from_files,
         predictions_roundtrip, feature_store, predictions_in_order, operational_metrics, tfidf_weights,
-        control_scores, feature_lookups,
+        control_scores, feature_lookups, incremental_dedup, quarantine_written, report_written, errors_written,
+        metrics_written, examples_written, cases_written, split_file_digests,
     )
 }

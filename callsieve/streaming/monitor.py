@@ -62,11 +62,12 @@ def start_drift_monitor(
 
 
 def drift_gauges(spark: SparkSession, root: str) -> DataFrame:
-    """Latest published status per key."""
-    history = spark.read.parquet(f"{root}/status")
-    names = [c for c in history.columns if c not in ("key", "batch_id")]
-    latest = history.groupBy("key").agg(F.max_by(F.struct(*names), F.col("batch_id")).alias("s"))
-    return latest.select("key", "s.*")
+    """Latest published status per key: that of the last whole batch, which knows all keys."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/status")
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    numbers = sorted((int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")), reverse=True)
+    last = next(n for n in numbers if path_exists(spark, f"{root}/status/batch_id={n}/_SUCCESS"))
+    return spark.read.parquet(f"{root}/status/batch_id={last}")
 
 
 def live_rates(
