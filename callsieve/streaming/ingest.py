@@ -30,6 +30,7 @@ from callsieve.schemas import STREAM_RECORD
 from callsieve.session import path_exists, scratch
 from callsieve.sources.files import indexed_lines
 from callsieve.sources.tail import Bookmark, tail_lines
+from callsieve.streaming.seen import add, history_of, merge
 
 LEDGER_SCHEMA = (
     "stream_partition string, source_offset long, event_id string, occurred_at timestamp, "
@@ -64,6 +65,10 @@ class StreamStore:
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
+    @property
+    def seen(self) -> str:
+        return f"{self.root}/seen"
+
     @property
     def bookmarks(self) -> str:
         return f"{self.root}/bookmarks"
@@ -260,8 +265,12 @@ def process_batch(batch: DataFrame, batch_id: int, store: StreamStore) -> None:
                     "stream offsets must be strictly increasing: "
                     f"{bad['stream_partition']}/{bad['source_offset']} occurs {bad['n']} times"
                 )
+            merge(spark, store.seen, batch_id)
             history = None
-            if path_exists(spark, store.ledger):
+            if batch_id:
+                live = marked.filter(~F.col("skip") & F.col("error_code").isNull()).select("event_id").distinct()
+                history = history_of(live, store.seen, batch_id)
+            if history is None and path_exists(spark, store.ledger):  # no runs of ids: the ledger itself
                 history = (
                     _read(spark, store.ledger, LEDGER_SCHEMA)
                     .filter((F.col("outcome") == ACCEPTED) & (F.col("batch_id") < batch_id))
@@ -274,7 +283,10 @@ def process_batch(batch: DataFrame, batch_id: int, store: StreamStore) -> None:
                 .write.mode("overwrite").partitionBy("outcome").parquet(target)
             )
             ledger = spark.read.option("basePath", store.ledger).schema(LEDGER_SCHEMA).parquet(target)
+            add(ledger.filter(F.col("outcome") == ACCEPTED).select("event_id"), store.seen, batch_id)
             done = outcome_statistics(ledger)
+        else:
+            add(spark.createDataFrame([], "event_id string"), store.seen, batch_id)
         running_totals(before, done).coalesce(1).write.mode("overwrite").parquet(
             f"{store.commits}/batch_id={batch_id}"
         )
