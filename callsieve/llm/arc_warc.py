@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from callsieve.llm.grouping import join_groups, written
 from callsieve.llm.workers import bounded_batches
+from callsieve.session import fresh_dir
 
 #: Fixed values of the two formats.
 FIELDS_V1 = ("url", "ip", "date", "type", "length")
@@ -238,7 +239,7 @@ def with_origins(archives: DataFrame, digests: DataFrame) -> DataFrame:
     found = join_groups(large.select("name", "n", "key", "payload_digest"), firsts, "payload_digest", "_n")
     other = F.col("key").isNull() | (F.col("key") != F.col("_origin.key"))
     lists = found.filter(F.col("_origin").isNotNull() & other).groupBy("name").agg(F.collect_list(F.struct("n", "_origin")).alias("origins"))
-    return archives.join(lists, "name", "left")
+    return archives.join(written(lists, "revisits"), "name", "left")  # of a known size: broadcast where that is small
 
 
 def convert(archives: DataFrame) -> DataFrame:
@@ -409,7 +410,9 @@ def pages_to_warc(pages: DataFrame, path: str) -> None:
     One record for each row, repeated rows and NULLs included (a NULL page has an
     empty payload); an empty table writes no record. Other columns are not read.
     """
-    archives_to_warc(written(archive_pages(pages), "arc"), path)
+    folder = fresh_dir(pages.sparkSession, "arc")
+    archive_pages(pages).write.option("compression", "zstd").parquet(folder)
+    archives_to_warc(pages.sparkSession.read.schema("name string, content binary").parquet(folder), path)
 
 
 def archives_to_warc(archives: DataFrame, path: str) -> None:
