@@ -99,7 +99,9 @@ def test_evidence_equals_brute_force(spark):
             n[1] += b
             n[2] += t
     z = lambda c, n, rate: (c - n * rate) / np.sqrt(n * rate * (1 - rate))
-    told = sorted(w for w, (n, b, t) in seen.items() if n >= 5 and (abs(z(b, n, bad.mean())) >= 4 or z(t, n, toxic.mean()) >= 4))
+    moves = lambda n, b: abs(z(b, n, bad.mean())) >= 4 and abs(b / n - bad.mean()) >= 0.1
+    swears = lambda n, t: z(t, n, toxic.mean()) >= 4 and t / n >= 2 * toxic.mean()
+    told = sorted(w for w, (n, b, t) in seen.items() if n >= 5 and (moves(n, b) or swears(n, t)))
     facts = q._Facts()
     shape = {i: np.array(q.features(text, facts.__getitem__)[0]) for i, text in docs.items()}
     fit = np.array([shape[i] for i in ids])
