@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsieve.functions.verdict import make_verdict
+from callsieve.functions.verdict import CALL_TYPE_MAP, make_verdict
+from callsieve.schemas import FRAUD_TYPES
 from callsieve.session import configure
 
-SPAM_TYPES = (
-    "ssn_scam", "refund_scam", "tech_support_scam", "reward_scam", "impersonation", "other",
-)
-CALL_TYPES = (
-    "ssn", "refund", "support", "tech_support", "tech", "reward", "prize", "lottery", "gift",
-    "impersonation", "irs", "bank", "government", "bank refund", "first class", "", "delivery",
-)
+SPAM_TYPES = FRAUD_TYPES[1:]
+# Every word of the taxonomy, and some that hold none, one or two of them.
+CALL_TYPES = (*CALL_TYPE_MAP, "bank refund", "first class", "", "delivery")
 EPOCH_2026 = 1767225600
 
 
