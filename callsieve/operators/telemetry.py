@@ -47,13 +47,16 @@ def _panes(requests: DataFrame, keys: Sequence[str], aggs: list[Column], step: i
     return requests.groupBy(*keys, pane.alias("_pane")).agg(*aggs)
 
 
-def _sliding(panes: DataFrame, keys: Sequence[str], names: Sequence[str], length: int, step: int) -> DataFrame:
-    """Sums of ``names`` at each evaluation time ``t`` (epoch seconds) that a pane counts for.
+def _sliding(
+    panes: DataFrame, keys: Sequence[str], names: Sequence[str], length: int, step: int, value: Column | None = None
+) -> DataFrame:
+    """Sums of ``names``, or ``value`` made of them, at each evaluation time ``t`` (epoch seconds) that a pane counts for.
 
     A pane that begins at ``p`` lies in the range ``(t - length, t]`` for
     ``t = p + step, p + 2 step, ..., p + length``: it is added at the first of these times and
     taken off after the last one. Running sums of the changes, over sampled ranges of
-    time, are the values; between two changes they stay, which is when rows are repeated.
+    time, are the values; between two changes they stay, so ``value`` is worked out once for each change and
+    rows are repeated last.
     A pane is two rows of a shuffle, however long the range is.
     """
     keys = list(keys)
@@ -86,21 +89,23 @@ def _sliding(panes: DataFrame, keys: Sequence[str], names: Sequence[str], length
         }
     )
     times = F.sequence(F.col("t"), F.col("_until") - step, F.lit(step))
-    return running.filter("_live > 0").select(*keys, F.explode(times).alias("t"), *names)
+    found = list(names) if value is None else [value.alias("value")]
+    changed = running.filter("_live > 0").select(*keys, times.alias("_times"), *found)
+    return changed.select(*keys, F.explode("_times").alias("t"), *(names if value is None else ["value"]))
 
 
 def request_rate(requests: DataFrame, range_seconds: int = 60, step_seconds: int = 5) -> DataFrame:
     """Requests per second by status over a sliding range."""
     panes = _panes(requests, ["status"], [F.count(F.lit(1)).alias("n")], step_seconds)
-    slid = _sliding(panes, ["status"], ["n"], range_seconds, step_seconds)
-    return slid.select("status", "t", (F.col("n") / range_seconds).alias("rate"))
+    slid = _sliding(panes, ["status"], ["n"], range_seconds, step_seconds, F.col("n") / range_seconds)
+    return slid.withColumnRenamed("value", "rate")
 
 
 def invalid_rate(attempts: DataFrame, range_seconds: int = 300, step_seconds: int = 5) -> DataFrame:
     """Invalid outputs per second over a sliding range (boolean ``invalid``)."""
     panes = _panes(attempts, [], [F.count_if("invalid").alias("n")], step_seconds).withColumn("_one", F.lit(1))
-    slid = _sliding(panes, ["_one"], ["n"], range_seconds, step_seconds)
-    return slid.select("t", (F.col("n") / range_seconds).alias("rate"))
+    slid = _sliding(panes, ["_one"], ["n"], range_seconds, step_seconds, F.col("n") / range_seconds)
+    return slid.select("t", F.col("value").alias("rate"))
 
 
 def bucket_quantile(counts: Column, q: float) -> Column:
@@ -128,8 +133,8 @@ def latency_quantile(
         requests, ["endpoint"], _bucket_counts(F.col("latency_ms") / 1000), step_seconds
     )
     names = [f"_le{i}" for i in range(len(LATENCY_BOUNDS))]
-    slid = _sliding(panes, ["endpoint"], names, range_seconds, step_seconds)
-    return slid.select("endpoint", "t", bucket_quantile(_bucket_array(), q).alias("latency_seconds"))
+    slid = _sliding(panes, ["endpoint"], names, range_seconds, step_seconds, bucket_quantile(_bucket_array(), q))
+    return slid.withColumnRenamed("value", "latency_seconds")
 
 
 def rounded_latency(ms: Column) -> Column:
