@@ -254,7 +254,7 @@ def corpus_from_files(spark: SparkSession, sf: str) -> DataFrame:
     root = fresh_dir(spark, "landed")
     read = []
     for rank, (spec, frame) in enumerate(_sources(spark, sf)):
-        frame.repartition(3, "row_idx").write.json(f"{root}/{rank}")
+        frame.repartition("row_idx").write.json(f"{root}/{rank}")  # as many files as the input needs
         read.append((spec, read_json_lines(spark, f"{root}/{rank}", spec.schema)))
     kept = corpora.first_of_each_text(corpora.unify(read))
     return kept.select(
