@@ -26,6 +26,7 @@ from callsieve.schemas import DriftPolicy, RegressionFloors
 from callsieve.session import configure, fresh_dir, publish_file
 from callsieve.sources import corpora, sinks
 from callsieve.sources.digests import file_block_digests, folded_digests
+from callsieve.sources.tail import append_lines
 from callsieve.sources.files import (
     load_cases,
     load_predictions,
@@ -711,11 +712,14 @@ def stream_growing_file(spark: SparkSession, sf: str) -> DataFrame:
     line = F.regexp_replace("payload", "[\r\n]", " ")
     records = I.call_records(spark, sf).select("stream_partition", "source_offset", line.alias("line"))
     records = records.withColumn("third", F.pmod(F.col("source_offset"), F.lit(3)))
+    order = ["third", "source_offset", "stream_partition"]
     for k in range(3):
-        grown = fresh_dir(spark, "grown")
-        upto = records.filter(F.col("third") <= k).coalesce(1).sortWithinPartitions("third", "source_offset", "stream_partition")
-        upto.select("line").write.text(grown)
-        publish_file(spark, grown, path)
+        added = records.filter(F.col("third") == k).select(*order, F.col("line").alias("value"))
+        if append_lines(spark, added, order, path) is None:  # a store that tasks cannot write into by name
+            grown = fresh_dir(spark, "grown")
+            upto = records.filter(F.col("third") <= k).coalesce(1).sortWithinPartitions(*order)
+            upto.select("line").write.text(grown)
+            publish_file(spark, grown, path)
         ingest.process_jsonl(spark, path, store, "calls")
     return ingest.curated_events(spark, store).select(
         "event_id", "source_offset", F.unix_seconds("occurred_at").alias("occurred_at"), "transcript_hash", "char_count"

@@ -7,6 +7,7 @@ so nothing is collected and nothing is read twice but the one line that crosses
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callsieve.session import fresh_dir
+from callsieve.session import fresh_dir, scratch
 
 #: Most bytes of a block; fewer where Spark is told to cut files smaller.
 BLOCK_BYTES = 16 << 20
@@ -132,3 +133,56 @@ def tail_lines(spark: SparkSession, path: str, since: Bookmark, block: int | Non
     starts = starts.select("block", F.coalesce(F.sum("_k").over(upto), F.lit(0)).alias("_before"))
     placed = lines.join(starts, "block").select((F.lit(since.lines) + F.col("_before") + F.col("_n")).alias("row_idx"), "value")
     return placed, size
+
+
+def append_lines(spark: SparkSession, lines: DataFrame, order: list[str], path: str) -> int | None:
+    """Add ``value`` of ``lines`` at the end of the file ``path``, a line each in ``order``; returns the parts written.
+
+    Many tasks write: rows are dealt by range of ``order`` and numbered within their part, each
+    part's bytes are summed, and a task writes its parts where the parts before them end. Lines end
+    with LF, as Spark's text writer ends them. None, with nothing written, where tasks cannot write
+    into the file by its name.
+    """
+    try:
+        system, name = open_path(path)
+    except (ValueError, OSError, pa.ArrowException):
+        return None
+    if not isinstance(system, fs.LocalFileSystem):
+        return None
+    with open(name, "ab") as file:
+        end = file.tell()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[int] = []
+        held: list[bytes] = []
+        held_at = at = 0
+        handle = os.open(name, os.O_WRONLY)
+        try:
+            for batch in batches:
+                for part, start, value in zip(*(batch.column(c).to_pylist() for c in ("_part", "_at", "value"))):
+                    if not parts or part != parts[-1]:
+                        if held:
+                            os.pwrite(handle, b"".join(held), held_at)
+                        parts.append(part)
+                        held, held_at, at = [], start, start
+                    held += (value, b"\n")
+                    at += len(value) + 1
+                if held:
+                    os.pwrite(handle, b"".join(held), held_at)
+                    held, held_at = [], at
+        finally:
+            os.close(handle)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64())], ["part"])
+
+    with scratch(spark):  # the staged lines are of no use once they are in the file
+        where = fresh_dir(spark, "append")
+        lines.repartitionByRange(*order).sortWithinPartitions(*order).select(
+            F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"),
+            F.coalesce(F.col("value"), F.lit("")).cast("binary").alias("value"),
+        ).write.parquet(where)
+        stored = spark.read.schema("_part int, _seq long, value binary").parquet(where)
+        sizes = stored.groupBy("_part").agg(F.sum(F.octet_length("value") + 1).alias("_n"))
+        upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_part", (F.lit(end) + F.coalesce(F.sum("_n").over(upto), F.lit(0))).alias("_at"))
+        placed = stored.join(F.broadcast(starts), "_part").repartition("_part").sortWithinPartitions("_part", "_seq")
+        return placed.mapInArrow(write, "part long").count()
