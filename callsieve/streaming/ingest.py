@@ -253,7 +253,10 @@ def process_batch(batch: DataFrame, batch_id: int, store: StreamStore) -> None:
     """One micro-batch, all or nothing; running it again changes nothing."""
     spark = batch.sparkSession
     before = _commit(spark, store, latest_commit(spark, store, below=batch_id))
-    parsed = read_event(batch).persist()
+    # A batch may be one file read as one split: records are dealt by position over all cores
+    # before they are parsed, so that no batch runs in one task.
+    spread = batch.repartition(spark.sparkContext.defaultParallelism, "stream_partition", "source_offset")
+    parsed = read_event(spread).persist()
     target = f"{store.ledger}/batch_id={batch_id}"
     done = spark.createDataFrame([], COMMIT_SCHEMA).drop("batch_id")
     try:

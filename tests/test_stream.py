@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,16 @@ def test_state_store_keeps_the_first_over_all_history(spark, folder):
     got = spark.read.parquet(f"{store.root}/events").collect()
     assert {(r.event_id, r.stream_partition, r.source_offset) for r in got} == {("x", "a", 0), ("y", "b", 1), ("z", "a", 3)}
     assert len(got) == 3
+
+
+def test_a_batch_of_one_file_is_parsed_by_many_tasks(spark, folder, monkeypatch):
+    """A large batch that arrives as one split is still parsed in several parts."""
+    store = I.StreamStore(f"{folder}/s")
+    parsed = []
+    monkeypatch.setattr(I, "read_event", lambda b, real=I.read_event: parsed.append(b) or real(b))
+    words = random.Random(7)
+    rows = [("p", i, event(f"e{i}", " ".join(f"{words.getrandbits(64):x}" for _ in range(100)))) for i in range(4000)]
+    I.process_batch(spark.createDataFrame(rows, I.STREAM_RECORD).coalesce(1), 0, store)
+    parts = parsed[0].select(F.spark_partition_id().alias("part"), F.length("payload").alias("n"))
+    assert parts.groupBy("part").agg(F.sum("n")).count() > 1
+    assert stats(spark, store) == {"p": (4000, 4000, 0, 0, 0, 4000)}
