@@ -60,12 +60,13 @@ def map_groups(
     step: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | None],
     schema: str,
     order: str,
+    merge: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch] | None = None,
 ) -> DataFrame:
     """Apply ``step`` to batches of whole groups.
 
     ``step`` gets rows sorted by ``keys`` and then ``order``, and the places where groups
     begin, with the number of rows at the end. Groups must be small enough to be held
-    whole.
+    whole, as ``merge`` leaves them: it gets each batch as it comes, before it is held.
     """
     bounded_batches(df.sparkSession)
 
@@ -82,6 +83,8 @@ def map_groups(
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if merge is not None:
+                batch = merge(batch, starts_of(batch))
             if held:
                 ends = starts_of(batch)
                 joint = starts_of(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]))
@@ -108,7 +111,11 @@ def map_groups(
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Star edges ``(root, member)`` of the components that the edges make of ``0..n-1``."""
-    root = np.arange(n)
+    return [(int(r), i) for i, r in enumerate(join_roots(np.arange(n), a, b)) if r != i]
+
+
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components that ``root`` has as stars, joined by more edges."""
     while len(a):
         ra, rb = root[a], root[b]
         low, high = np.minimum(ra, rb), np.maximum(ra, rb)
@@ -117,7 +124,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         np.minimum.at(root, high, low)
         while (root[root] != root).any():
             root = root[root]
-    return [(int(r), i) for i, r in enumerate(root) if r != i]
+    return root
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -62,3 +62,32 @@ def test_fit_prefers_cells_where_they_help():
     centres = e.unit(rng.normal(size=(50, 32)))
     tight = e.unit(np.repeat(centres, 40, axis=0) + rng.normal(size=(2000, 32)) * 0.01)
     assert len(e.fit_cells(tight, 1e6, 0.98)) > 1
+
+
+def test_vectors_move_once_where_a_label_fits_a_task(spark, monkeypatch):
+    moved, real = [], e.map_groups
+
+    def counted(df, *rest):
+        moved.append(df.count())
+        return real(df, *rest)
+
+    monkeypatch.setattr(e, "map_groups", counted)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(rng.normal(size=(2100, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert e.near_duplicates(df).count() == 2100
+    assert moved == [2100]
+
+
+def test_doubles_that_single_precision_does_not_hold(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(15):
+        base = rng.normal(size=6)
+        for k in range(3):
+            v = base + rng.normal(size=6) * 0.08
+            rows.append((len(rows), [float(np.float32(x)) if k else float(x) for x in v], 1))
+    rows += [(50, [1e300, 2e300, 0.0, 0.0, 0.0, 1e299], 1), (51, [1e-300, 2e-300, 0.0, 0.0, 0.0, 1e-301], 1), (52, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_duplicates(df).collect()), key=str)
+    assert out == [(*x[:2], *x[2:]) for x in brute([(i, list(np.array(v) / max(map(abs, v))), g) for i, v, g in rows])]
