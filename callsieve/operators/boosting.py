@@ -49,17 +49,20 @@ def binned_terms(weights: DataFrame, bins: int = 32) -> DataFrame:
     """``term, tid, cuts``: a number for each term, and at most ``bins - 1`` cuts between its weights.
 
     As many rows as the vocabulary. Cuts are quantiles; of a term in fewer than 10,000 texts exact ones.
+    Weights are dealt by term as they are: summaries of parts would hold nearly all of them and more bytes each.
     """
     shares = [i / bins for i in range(1, bins)]
-    cuts = weights.groupBy("term").agg(F.array_sort(F.array_distinct(F.percentile_approx("weight", shares, 10_000))).alias("cuts"))
+    cuts = weights.select("term", "weight").repartition("term").groupBy("term").agg(F.array_sort(F.array_distinct(F.percentile_approx("weight", shares, 10_000))).alias("cuts"))
     return cuts.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("tid"), "cuts")
 
 
-def binned(weights: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """``key, feats``: a map from the numbers of a text's terms to their bins, from 1 on."""
+def binned(weights: DataFrame, terms: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """``key, feats``: a map from the numbers of a text's terms to their bins, from 1 on; of ``keys`` only, if given."""
     level = F.size(F.filter("cuts", lambda c: c < F.col("weight"))) + 1
     cells = weights.join(F.broadcast(terms), "term").select(key, F.struct("tid", level.alias("bin")).alias("cell"))
-    return cells.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list("cell"))).alias("feats"))
+    if keys is not None:
+        cells = cells.join(keys.select(key), key, "left_semi")
+    return cells.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list("cell"))).alias("feats"))
 
 
 def _above(split: Split) -> Column:
@@ -92,21 +95,19 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _best_splits(cells: DataFrame, penalty: float, least: float) -> list:
-    """For each node its totals and best split, if one gains anything. ``cells``: node, tid, bin, g, h; tid -1 is the total."""
-    total = cells.filter("tid = -1").select("node", F.col("g").alias("ga"), F.col("h").alias("ha"))
+def _best_splits(cells: DataFrame, totals: dict[int, tuple[int, int]], penalty: float, least: float) -> list:
+    """For each node the best split, if one gains anything. ``cells``: node, tid, bin, g, h; ``totals``: g and h of each node."""
+    of_node = lambda i: F.coalesce(*[F.when(F.col("node") == n, F.lit(t[i]).cast("long")) for n, t in totals.items()])
     down = Window.partitionBy("node", "tid").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    right = cells.filter("tid >= 0").withColumns({"gr": F.sum("g").over(down), "hr": F.sum("h").over(down)})
+    right = cells.withColumns({"gr": F.sum("g").over(down), "hr": F.sum("h").over(down), "ga": of_node(0), "ha": of_node(1)})
     gain = lambda g, h: F.col(g).cast("double") * F.col(g) / (F.col(h) + penalty * UNIT)
     scored = (
-        right.join(F.broadcast(total), "node")
-        .withColumns({"gl": F.col("ga") - F.col("gr"), "hl": F.col("ha") - F.col("hr")})
+        right.withColumns({"gl": F.col("ga") - F.col("gr"), "hl": F.col("ha") - F.col("hr")})
         .withColumn("gain", gain("gl", "hl") + gain("gr", "hr") - gain("ga", "ha"))
         .filter((F.col("hl") >= least * UNIT) & (F.col("hr") >= least * UNIT) & (F.col("gain") > 1e-9 * UNIT))
     )
     order = F.struct("gain", -F.col("tid"), -F.col("bin"))
-    best = scored.groupBy("node").agg(F.max_by(F.struct("tid", "bin", "gr", "hr"), order).alias("best"))
-    return total.join(best, "node", "left").collect()
+    return scored.groupBy("node").agg(F.max_by(F.struct("tid", "bin", "gr", "hr"), order).alias("best")).collect()
 
 
 def fit_boosted(
@@ -126,11 +127,12 @@ def fit_boosted(
     """Fit on ``weights (key, term, weight)`` and ``labels (key, label)``; keys are unique in ``labels``.
 
     Logistic loss with second-order gains. ``penalty`` is added to the curvature of each side, which
-    must be ``least`` or more. Texts without a term have bin 0 everywhere. ``trees * depth`` jobs.
+    must be ``least`` or more. Texts without a term have bin 0 everywhere. A tree takes a job for each
+    level, and one for the sums of its root: those of other nodes come from the split above.
     """
     terms = _written(binned_terms(weights, bins))
     rows = labels.select(key, F.col("label").cast("boolean").cast("int").alias("y")).filter("y is not null")
-    rows = rows.join(binned(weights, terms, key), key, "left")
+    rows = rows.join(binned(weights, terms, key, rows), key, "left")
     rows = rows.withColumn("feats", F.coalesce("feats", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))))
     share = rows.agg(F.avg("y")).first()[0]
     if share is None or share in (0.0, 1.0):
@@ -147,30 +149,27 @@ def fit_boosted(
             "feats", F.round((F.col("p") - F.col("y")) * UNIT).cast("long").alias("g"), F.round(F.col("p") * (1 - F.col("p")) * UNIT).cast("long").alias("h")
         )
         tree = Tree({}, {})
-        front = {1}
-        sums: dict[int, tuple[int, int]] = {}
+        root = sloped.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
+        front = {1} if root.g is not None else set()
+        sums: dict[int, tuple[int, int]] = {1: (root.g, root.h)} if front else {}
         for _ in range(depth):
+            if not front:
+                break
             node = _walk(tree, 1, {n: F.lit(n if n in front else 0) for n in _ends(tree)})
-            every = F.array_append(F.map_entries("feats"), F.struct(F.lit(-1).alias("key"), F.lit(0).alias("value")))
             cells = (
                 sloped.withColumn("node", node)
                 .filter("node > 0")
-                .select("node", "g", "h", F.explode(every).alias("e"))
-                .select("node", F.col("e.key").alias("tid"), F.col("e.value").alias("bin"), "g", "h")
-                .filter((F.col("tid") < 0) | _drawn(F.col("tid"), column_share, t, seed))
+                .select("node", "g", "h", F.explode("feats").alias("tid", "bin"))
+                .filter(_drawn(F.col("tid"), column_share, t, seed))
                 .groupBy("node", "tid", "bin")
                 .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
             )
-            front = set()
-            for r in _best_splits(cells, penalty, least):
-                sums[r.node] = (r.ga, r.ha)
-                if r.best is not None:
-                    tree.splits[r.node] = Split(r.best.tid, r.best.bin - 1)
-                    sums[2 * r.node + 1] = (r.best.gr, r.best.hr)
-                    sums[2 * r.node] = (r.ga - r.best.gr, r.ha - r.best.hr)
-                    front |= {2 * r.node, 2 * r.node + 1}
-            if not front:
-                break
+            totals, front = {n: sums[n] for n in sorted(front)}, set()
+            for r in _best_splits(cells, totals, penalty, least):
+                tree.splits[r.node] = Split(r.best.tid, r.best.bin - 1)
+                sums[2 * r.node + 1] = (r.best.gr, r.best.hr)
+                sums[2 * r.node] = (totals[r.node][0] - r.best.gr, totals[r.node][1] - r.best.hr)
+                front |= {2 * r.node, 2 * r.node + 1}
         for n in _ends(tree):
             g, h = sums.get(n, (0, 0))
             tree.leaves[n] = -step * g / (h + penalty * UNIT)
@@ -185,9 +184,11 @@ def fit_boosted(
 def score_boosted(model: Boosted, weights: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``keys`` with ``score``, the probability of the label, and ``pred``.
 
-    Weights come from the vocabulary of the fit; other terms do not count.
+    Weights come from the vocabulary of the fit; other terms do not count, and of its terms only
+    those that a tree splits on are looked up.
     """
-    rows = keys.join(binned(weights, model.terms, key), key, "left")
+    asked = sorted({split.term for tree in model.trees for split in tree.splits.values()})
+    rows = keys.join(binned(weights, model.terms.filter(F.col("tid").isin(asked)), key), key, "left")
     rows = rows.withColumn("feats", F.coalesce("feats", F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<int>"))))
     margin = sum((tree_value(t) for t in model.trees), F.lit(model.base))
     score = 1 / (1 + F.exp(-margin))

@@ -104,3 +104,19 @@ def test_query_separates_labels(spark):
     bad = [rows[r.doc_id] for r in labels if r.quality == 0 and r.doc_id % 5 > 0]
     good = [rows[r.doc_id] for r in labels if r.quality == 1 and r.doc_id % 5 > 0]
     assert np.mean(bad) > np.mean(good) + 0.2
+
+
+def test_scoring_looks_up_only_terms_that_split(spark, monkeypatch):
+    asked, real = [], B.binned
+
+    def counted(weights, terms, *rest):
+        asked.append(terms.count())
+        return real(weights, terms, *rest)
+
+    monkeypatch.setattr(B, "binned", counted)
+    terms = spark.createDataFrame([("a", 0, [0.5]), ("b", 1, [0.5]), ("c", 2, [0.5])], "term string, tid int, cuts array<double>")
+    weights = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.9), (2, "b", 0.2), (3, "c", 0.9)], "key long, term string, weight double")
+    model = B.Boosted(0.0, [B.Tree({1: B.Split(1, 1)}, {2: -1.0, 3: 1.0})], terms)
+    got = {r.key: r.pred for r in B.score_boosted(model, weights, spark.range(1, 5).select(F.col("id").alias("key")), "key").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+    assert asked == [1]
